@@ -1,16 +1,21 @@
 """Exact order statistics without collecting a group into one task.
 
-``rank_within`` gives every non-null value its 1-based rank inside its group
-(ascending) plus the group size, using a distributed sort:
-
-1. range-partition the (group, value) pairs into ``P`` partitions and sort
-   each partition; a group holding a third of all rows is spread over about a
-   third of the partitions, because the range bounds split on the value too;
-2. count rows per (partition, group) -- a table of at most
-   ``#groups + P`` rows -- and turn the counts into the offset of each
-   (partition, group) slice with a window over that small table;
-3. join the offsets back on (partition, group): the hash of (partition, group)
-   spreads a hot group over many tasks.
+``value_ranges`` turns the non-null values of each group into distinct
+(group, value, count) rows and gives each the range of ranks it covers
+(``_start`` < rank <= ``_start + _c``) plus the group size ``_n``:
+
+1. ``groupBy(keys, value).count()`` -- partial aggregation collapses ties, so
+   a hot group of one repeated value is a single row after the map side;
+2. the distinct pairs (no ties left) are range-partitioned on
+   (keys, value) into ``P`` partitions, so a group holding a third of all rows
+   is spread over about a third of the partitions; the partition id is
+   materialised once by a reliable checkpoint (shared folder named by
+   ``spark.checkpoint.dir``) so every later branch sees the same assignment
+   and the frame survives executor loss;
+3. counts per (partition, group) -- at most ``#groups + P`` rows -- give the
+   offset of each slice; a window on (partition, group) gives the local
+   prefix; both are joined on (partition, group), whose hash spreads a hot
+   group over many tasks.
 
 Trimmed means, exact quantiles and medians are then plain filtered
 aggregates (partial aggregation before the shuffle).  Exact ``percentile``
@@ -24,6 +29,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
@@ -31,31 +38,40 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def value_ranges(df: DataFrame, keys: Sequence[str], value: str,
+                 partitions: int | None = None) -> DataFrame:
+    """(keys, value, _c, _start, _n): rank range of every distinct value per group."""
+    keys = list(keys)
+    p = _partitions(df, partitions)
+    ensure_checkpoint_dir(df.sparkSession)
+    h = (df.select(*keys, value).where(F.col(value).isNotNull())
+           .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
+    hs = (h.repartitionByRange(p, *keys, value)
+           .withColumn("_pid", F.spark_partition_id())
+           .checkpoint(eager=True))
+    cnt = hs.groupBy("_pid", *keys).agg(F.sum("_c").alias("_pc"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # The offset windows run over the small (partition, group) count table.
+    cnt = cnt.select("_pid", *keys, F.coalesce(F.sum("_pc").over(before), F.lit(0)).alias("_off"),
+                     F.sum("_pc").over(Window.partitionBy(*keys)).alias("_n"))
+    local = Window.partitionBy("_pid", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    hs = hs.withColumn("_ls", F.coalesce(F.sum("_c").over(local), F.lit(0)))
+    out = hs.join(cnt, ["_pid", *keys])
+    return out.select(*keys, value, F.col("_c").cast("long").alias("_c"),
+                      (F.col("_off") + F.col("_ls")).cast("long").alias("_start"),
+                      F.col("_n").cast("long").alias("_n"))
+
+
 def rank_within(df: DataFrame, keys: Sequence[str], value: str,
                 partitions: int | None = None) -> DataFrame:
     """Rows of ``(keys, value)`` with ``_rank`` (1-based, ascending) and ``_n``.
 
-    Null values are dropped first (``na.rm``).  Ties get consecutive ranks in
-    arbitrary order, which does not change any order statistic.
+    One row per non-null input value (ties get consecutive ranks); built on
+    :func:`value_ranges`, so the work per task stays bounded.
     """
-    keys = list(keys)
-    p = _partitions(df, partitions)
-    s = (df.select(*keys, value).where(F.col(value).isNotNull())
-           .repartitionByRange(p, *keys, value)
-           .sortWithinPartitions(*keys, value)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    cnt = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
-    w_before = (Window.partitionBy(*keys).orderBy("_pid")
-                .rowsBetween(Window.unboundedPreceding, -1)) if keys else \
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    cnt = (cnt.withColumn("_off", F.coalesce(F.sum("_c").over(w_before), F.lit(0)))
-              .withColumn("_n", F.sum("_c").over(w_all)))
-    out = s.join(cnt, ["_pid", *keys])
-    return out.select(*keys, value,
-                      (F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1).alias("_rank"),
-                      F.col("_n").cast("long").alias("_n"))
+    r = value_ranges(df, keys, value, partitions)
+    return (r.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))))
+             .select(*keys, value, (F.col("_start") + F.col("_k")).alias("_rank"), "_n"))
 
 
 def rank_within_window(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -99,22 +115,27 @@ def order_stats(df: DataFrame, keys: Sequence[str], measures: dict[str, Column |
     trims = trims or {}
     quantiles = quantiles or {}
     long = stack(df, keys, measures)
+    gk = keys + ["_measure"]
     if method == "window":
-        r = rank_within_window(long, keys + ["_measure"], "_value")
+        r = rank_within_window(long, gk, "_value").withColumn("_c", F.lit(1)) \
+            .withColumn("_start", F.col("_rank") - 1)
     else:
-        r = rank_within(long, keys + ["_measure"], "_value", partitions)
-    m, v, rk, n = F.col("_measure"), F.col("_value"), F.col("_rank"), F.col("_n")
+        r = value_ranges(long, gk, "_value", partitions)
+    m, v, n = F.col("_measure"), F.col("_value"), F.col("_n")
+    lo_r, hi_r = F.col("_start") + 1, F.col("_start") + F.col("_c")   # ranks covered by the row
     aggs = []
     for out, trim in trims.items():
         k = F.floor(n * F.lit(trim))
-        keep = (m == out) & (rk > k) & (rk <= n - k)
-        aggs.append(F.avg(F.when(keep, v)).alias(out))
+        overlap = F.greatest(F.least(hi_r, n - k) - F.greatest(lo_r - 1, k), F.lit(0))
+        w = F.when(m == out, overlap)
+        aggs.append(F.try_divide(F.sum(v * w), F.sum(w).cast("double")).alias(out))
     for out, (meas, q) in quantiles.items():
         h = (n - 1).cast("double") * F.lit(q)
         lo, hi = F.floor(h) + 1, F.ceil(h) + 1
-        aggs.append(F.max(F.when((m == meas) & (rk == lo), v)).alias(f"{out}__lo"))
-        aggs.append(F.max(F.when((m == meas) & (rk == hi), v)).alias(f"{out}__hi"))
-        aggs.append(F.max(F.when(m == meas, h - F.floor(h))).alias(f"{out}__d"))
+        sel = m == meas
+        aggs.append(F.max(F.when(sel & (lo_r <= lo) & (hi_r >= lo), v)).alias(f"{out}__lo"))
+        aggs.append(F.max(F.when(sel & (lo_r <= hi) & (hi_r >= hi), v)).alias(f"{out}__hi"))
+        aggs.append(F.max(F.when(sel, h - F.floor(h))).alias(f"{out}__d"))
     res = r.groupBy(*keys).agg(*aggs) if keys else r.agg(*aggs)
     for out in quantiles:
         lo, hi, d = F.col(f"{out}__lo"), F.col(f"{out}__hi"), F.col(f"{out}__d")

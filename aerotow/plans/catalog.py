@@ -114,3 +114,7 @@ def q_level_flight_kpi(spark, sf):
 def q_trajectory_features(spark, sf):
     t = tr.trajectory_features(fx.fx_traj(spark, sf), fx.fx_flights(spark, sf), fx.fx_airports(spark, sf))
     return t.transform(normalise)
+
+
+# Further query groups register themselves on import.
+from . import q_features  # noqa: E402,F401

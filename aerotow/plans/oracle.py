@@ -188,3 +188,6 @@ TRAJ_FEATURE_COLS = _summary_cols() + ENERGY_COLS + LIFT_COLS + SAMPLE_COLS + KP
 
 ORACLE["trajectory_features"] = with_(*TRAJ_FEATURE_CTES) + "select flight_id, " + ", ".join(
     f"{sig(_coalesce0(c))} as {c}" for c in TRAJ_FEATURE_COLS) + " from tf"
+
+
+from . import o_features  # noqa: E402,F401

@@ -162,3 +162,47 @@ def phased_ctes(sticky: bool = True, short_route: bool = True) -> list[str]:
         last = "r3"
     ctes.append(f"ph AS (select * from {last})")
     return ctes
+
+
+def div(a: str, b: str) -> str:
+    """a / b with null for a zero divisor (as try_divide)."""
+    return f"(case when ({b}) = 0 then null else ({a})/({b}) end)"
+
+
+def finite_sql(x: str) -> str:
+    return f"(case when isnan({x}) or isinf({x}) then null else {x} end)"
+
+
+def time_parts_sql(ts: str, prefix: str) -> list[str]:
+    return [
+        f"cast(hour({ts}) as int) as {prefix}_hour",
+        f"cast(minute({ts}) as int) as {prefix}_minute",
+        f"cast(isodow({ts}) - 1 as int) as {prefix}_day_of_week",
+        f"cast(dayofyear({ts}) as int) as {prefix}_day_of_year",
+        f"cast(month({ts}) as int) as {prefix}_month",
+        f"cast(weekofyear({ts}) as int) as {prefix}_week_of_year",
+        f"cast(quarter({ts}) as int) as {prefix}_quarter",
+        f"cast(year({ts}) as int) as {prefix}_year",
+        f"case when month({ts}) in (12,1,2) then 'Winter' when month({ts}) in (3,4,5) then 'Spring' "
+        f"when month({ts}) in (6,7,8) then 'Summer' else 'Fall' end as {prefix}_season",
+        f"dayname({ts}) as {prefix}_weekday_name",
+    ]
+
+
+def minutes_sql(a: str, b: str) -> str:
+    return f"(cast(date_diff('microsecond', {a}, {b}) as double)/1e6/60.0)"
+
+
+def days_sql(a: str, b: str) -> str:
+    return f"cast(floor(cast(date_diff('microsecond', {a}, {b}) as double)/1e6/86400.0) as bigint)"
+
+
+def rush_sql(h: str) -> str:
+    return f"cast(({h} >= 7 and {h} <= 9) or ({h} >= 16 and {h} <= 18) as int)"
+
+
+def qcut_sql(x: str, edges_cte: str, col: str) -> str:
+    """Bin index from edges e0..e5 held in CTE ``edges_cte`` (columns <col>_e<i>)."""
+    es = [f"{edges_cte}.{col}_e{i}" for i in range(6)]
+    below = " + ".join(f"(case when {x} > {e} then 1 else 0 end)" for e in es)
+    return f"(case when {x} is not null then cast(greatest({below} - 1, 0) as int) end)"

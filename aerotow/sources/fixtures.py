@@ -170,3 +170,25 @@ def fx_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         noise = ((F.col("flight_id") * k) % 101 - 50).cast("double")
         cols.append((F.col("tow") * (F.lit(1.0) + F.lit(c) * noise / 1000)).alias(name))
     return f.select(*cols)
+
+
+# Hand-entered airport rows (icao, lat, lon, altitude) patched in
+# after the two file sources, as the reference does for codes both files miss.
+PATCH_AIRPORTS = [("A0", 1.0, 2.0, 3.0), ("A9", 4.5, 5.5, 66.0), ("A12", 0.0, 0.0, 0.0)]
+
+
+def fx_airports_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second airport source: overlaps the first on every fourth code."""
+    s = table(spark, sf_dir, "supplier").where((F.col("s_suppkey") % 9 == 0) | (F.col("s_suppkey") % 4 == 0))
+    k = F.col("s_suppkey")
+    return s.select(
+        F.concat(F.lit("A"), k.cast("string")).alias("icao"),
+        (((k * 7) % 120).cast("double") - 60 + 0.5).alias("lat"),
+        (((k * 13) % 360).cast("double") - 180 - 0.5).alias("lon"),
+        (((k * 31) % 900).cast("double") + 10).alias("altitude"),
+        k.alias("line"),
+    )
+
+
+def patch_airports(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PATCH_AIRPORTS, "icao string, lat double, lon double, altitude double")
