@@ -34,7 +34,11 @@ def join_dim(df: DataFrame, dim: DataFrame, left_key: str, dim_key: str,
     return df.join(broadcast_bounded(d, max_rows), left_key, "left")
 
 
-def dedupe_key_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """One row per key: the first by ``order`` (e.g. source rank, line number)."""
-    w = Window.partitionBy(key).orderBy(*order)
+def dedupe_key_first(df: DataFrame, key, order: Sequence[str]) -> DataFrame:
+    """One row per key: the first by ``order`` (e.g. source rank, line number).
+
+    Not ``dropDuplicates([key])``, which keeps an arbitrary row.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")

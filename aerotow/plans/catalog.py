@@ -118,3 +118,5 @@ def q_trajectory_features(spark, sf):
 
 # Further query groups register themselves on import.
 from . import q_features  # noqa: E402,F401
+
+from . import q_frame  # noqa: E402,F401
