@@ -120,3 +120,5 @@ def q_trajectory_features(spark, sf):
 from . import q_features  # noqa: E402,F401
 
 from . import q_frame  # noqa: E402,F401
+
+from . import q_encode  # noqa: E402,F401

@@ -193,3 +193,5 @@ ORACLE["trajectory_features"] = with_(*TRAJ_FEATURE_CTES) + "select flight_id, "
 from . import o_features  # noqa: E402,F401
 
 from . import o_frame  # noqa: E402,F401
+
+from . import o_encode  # noqa: E402,F401
