@@ -122,3 +122,5 @@ from . import q_features  # noqa: E402,F401
 from . import q_frame  # noqa: E402,F401
 
 from . import q_encode  # noqa: E402,F401
+
+from . import q_model  # noqa: E402,F401

@@ -195,3 +195,5 @@ from . import o_features  # noqa: E402,F401
 from . import o_frame  # noqa: E402,F401
 
 from . import o_encode  # noqa: E402,F401
+
+from . import o_model  # noqa: E402,F401
