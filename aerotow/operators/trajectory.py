@@ -273,3 +273,16 @@ def trajectory_features(points: DataFrame, flights: DataFrame, airports: DataFra
            .join(climb_samples(phased), KEY, "left")
            .join(level_flight_kpi(phased), KEY, "left"))
     return clean_floats(out)
+
+
+def halo_slice(points: DataFrame, day: str, halo: int = 1, date_col: str | None = None) -> DataFrame:
+    """Points of the flights seen on ``day``, taken from ``day - halo .. day + halo``.
+
+    With a day-partitioned source (``date_col``) both filters are partition
+    filters; otherwise the day is the date of the timestamp.
+    """
+    d = F.to_date(F.lit(day))
+    pday = F.col(date_col).cast("date") if date_col else F.to_date("timestamp")
+    window = points.where(pday.between(F.date_sub(d, halo), F.date_add(d, halo)))
+    ids = points.where(pday == d).select(KEY).distinct()
+    return window.join(ids, KEY, "left_semi")

@@ -122,13 +122,14 @@ def sig(expr: str, bits: int = 30) -> str:
 W_FLIGHT = 'partition by flight_id order by "timestamp", event_id'
 
 
-def phased_ctes(sticky: bool = True, short_route: bool = True) -> list[str]:
-    """CTEs p0..pN ending in ``ph``: the phased points."""
-    ctes = [FX_AIRPORTS, FX_FLIGHTS, FX_TRAJ]
+def phased_ctes(sticky: bool = True, short_route: bool = True, src: str = "fx_traj",
+                extra: tuple[str, ...] = ()) -> list[str]:
+    """CTEs p0..pN ending in ``ph``: the phased points (of ``src``)."""
+    ctes = [FX_AIRPORTS, FX_FLIGHTS, FX_TRAJ, *extra]
     ctes.append(f"""p0 AS (select flight_id, event_id, "timestamp", latitude, longitude, altitude,
   coalesce(vertical_rate, ((lead(altitude,10) over w - altitude) / ({epoch_s('lead("timestamp",10) over w')} - {epoch_s('"timestamp"')}))*60) as vertical_rate,
   groundspeed, track, u_component_of_wind, v_component_of_wind, temperature, specific_humidity
- from fx_traj window w as ({W_FLIGHT}))""")
+ from {src} window w as ({W_FLIGHT}))""")
     ctes.append("""p1 AS (select p0.*, f.adep, f.ades, a.lon as adep_lon0, a.lat as adep_lat0, a.altitude as adep_altitude,
   b.lon as ades_lon0, b.lat as ades_lat0, b.altitude as ades_altitude
  from p0 left join fx_flights f on p0.flight_id=f.flight_id left join fx_airports a on f.adep=a.icao
