@@ -90,15 +90,27 @@ def presence_mask(df: DataFrame, cols: Sequence[str], suffix: str = "__present")
 def fit_categories(df: DataFrame, cols: Sequence[str], max_categories: int = 10000,
                    dropna: bool = True) -> dict[str, list]:
     """Sorted distinct values per column (numeric order for numbers, code-point
-    order for strings).  Raises if a column has more than ``max_categories``."""
+    order for strings).
+
+    Two passes for all columns: an approximate distinct count proves the bound
+    (raises above ``max_categories``), then one aggregate collects the sets,
+    whose size is therefore bounded.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    est = df.agg(*[F.approx_count_distinct(c, 0.01).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    for i, c in enumerate(cols):
+        if est[f"n{i}"] > max_categories * 1.05:
+            raise ValueError(f"{c}: more than {max_categories} categories")
+    row = df.agg(*[F.collect_set(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     out = {}
-    for c in cols:
-        d = df.select(c).distinct()
-        if dropna:
-            d = d.where(F.col(c).isNotNull())
-        vals = [r[0] for r in d.limit(max_categories + 1).collect()]
+    for i, c in enumerate(cols):
+        vals = list(row[f"s{i}"] or [])
         if len(vals) > max_categories:
             raise ValueError(f"{c}: more than {max_categories} categories")
+        if not dropna and df.where(F.col(c).isNull()).limit(1).count():
+            vals.append(None)
         out[c] = sorted(vals, key=lambda v: (v is None, v))
     return out
 

@@ -263,10 +263,26 @@ def level_flight_kpi(phased: DataFrame, flags: DataFrame | None = None, radius_n
     return g.fillna(0.0)
 
 
-def trajectory_features(points: DataFrame, flights: DataFrame, airports: DataFrame) -> DataFrame:
+def materialize_phased(phased: DataFrame) -> DataFrame:
+    """Write the phased points once to the shared checkpoint folder.
+
+    Five feature branches read them; without this each branch would redo the
+    scan, the shuffle and the whole window chain.  The checkpoint keeps the
+    hash partitioning on ``flight_id``, so the branches add no shuffle of the
+    points, and it cuts the lineage (executor loss re-reads, not recomputes).
+    """
+    from ..session import checkpoint_partitioned
+
+    return checkpoint_partitioned(phased)
+
+
+def trajectory_features(points: DataFrame, flights: DataFrame, airports: DataFrame,
+                        materialize: bool = True) -> DataFrame:
     """One row per flight with points: 34 phase + 3 energy + 4 lift-off +
     60 sample + 4 level-flight features (105 columns after ``flight_id``)."""
     phased = assign_phases(points, flights, airports)
+    if materialize:
+        phased = materialize_phased(phased)
     out = (phase_summary(phased)
            .join(energy_10nm(phased), KEY, "left")
            .join(liftoff(phased), KEY, "left")

@@ -126,3 +126,5 @@ from . import q_encode  # noqa: E402,F401
 from . import q_model  # noqa: E402,F401
 
 from . import q_io  # noqa: E402,F401
+
+from . import q_jobs  # noqa: E402,F401

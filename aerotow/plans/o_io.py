@@ -26,3 +26,13 @@ _HALO = f"""fx_halo AS (select * from fx_traj where cast("timestamp" as date) be
  and flight_id in (select flight_id from fx_traj where cast("timestamp" as date) = date '{HALO_DAY}'))"""
 ORACLE["halo_days"] = with_(*phased_ctes(src="fx_halo", extra=(_HALO,)), *SUMMARY_CTES) + "select flight_id, " + \
     ", ".join(f"{sig(_coalesce0(c))} as {c}" for c in _summary_cols()) + " from sfl"
+
+from .o_features import TRAJ_SUMMARY  # noqa: E402
+from .oracle import TRAJ_FEATURE_COLS, TRAJ_FEATURE_CTES  # noqa: E402
+
+ORACLE["trajectory_table"] = with_(*TRAJ_FEATURE_CTES) + (
+    "select f.flight_id, f.callsign, f.adep, f.ades, f.actual_offblock_time, f.arrival_time, "
+    + ", ".join(f"{sig('f.' + c)} as {c}" for c in ["flight_duration", "taxiout_time", "flown_distance"])
+    + ", f.airline, f.wtc, f.aircraft_type, " + sig("f.tow") + " as tow, "
+    + ", ".join(f"{sig(_coalesce0('tf.' + c) if False else _coalesce0(c))} as {c}" for c in TRAJ_FEATURE_COLS)
+    + " from fx_flights f join tf on f.flight_id = tf.flight_id")

@@ -59,3 +59,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/aerotow/{name}"
+
+
+def checkpoint_partitioned(df, eager: bool = True):
+    """Reliable checkpoint that keeps the plan's output partitioning.
+
+    With AQE on, a checkpoint records an unknown partitioning, so every later
+    join or aggregate on the same key would shuffle the data again.  The
+    checkpoint job itself is planned without AQE (its shuffles should then
+    use an explicit partition count); the setting is restored afterwards.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=eager)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
