@@ -128,3 +128,5 @@ from . import q_model  # noqa: E402,F401
 from . import q_io  # noqa: E402,F401
 
 from . import q_jobs  # noqa: E402,F401
+
+from . import q_misc  # noqa: E402,F401

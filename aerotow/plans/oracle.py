@@ -199,3 +199,5 @@ from . import o_encode  # noqa: E402,F401
 from . import o_model  # noqa: E402,F401
 
 from . import o_io  # noqa: E402,F401
+
+from . import o_misc  # noqa: E402,F401
