@@ -1,0 +1,97 @@
+"""Sequence operators for hot flights (one flight with a large share of all points).
+
+A window partitioned by ``flight_id`` processes a flight in one task.  For
+flights above a size threshold the same results are computed without any
+per-flight window:
+
+* ``positions``: dense 1-based position of every point in its group in
+  (timestamp, tiebreak) order, from the distributed rank primitive (range
+  partitioning splits a hot flight over many tasks);
+* ``shifted``: lag/lead as an equi-join on (keys, position +/- k), whose hash
+  spreads a hot flight evenly;
+* ``prefix``: running sum / max by position in blocks of ``block`` rows: a
+  window per (keys, block) plus the carry of earlier blocks from a table of
+  one row per block;
+* group constants (first/last/max) are partial aggregates joined back.
+
+Every function returns the same rows as its window counterpart in
+``sequence``; the tests run the whole trajectory pipeline both ways.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .ranks import rank_within
+
+ORDER = ("timestamp", "event_id")
+BLOCK = 100_000
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDER, out: str = "_pos",
+              partitions: int | None = None) -> DataFrame:
+    """``df`` with ``out`` = 1-based position in (keys) by ``order`` (must be unique)."""
+    keys = list(keys)
+    d = df.withColumn("_ord", F.struct(*order))
+    r = rank_within(d.select(*keys, "_ord"), keys, "_ord", partitions).select(*keys, "_ord", F.col("_rank").alias(out))
+    return d.join(r, [*keys, "_ord"]).drop("_ord")
+
+
+def shifted(df: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int, pos: str = "_pos",
+            prefix: str = "_lag_") -> DataFrame:
+    """Attach ``cols`` of the row ``k`` positions earlier (k > 0: lag, k < 0: lead)."""
+    keys = list(keys)
+    src = df.select(*keys, (F.col(pos) + k).alias(pos), *[F.col(c).alias(f"{prefix}{c}") for c in cols])
+    return df.join(src, [*keys, pos], "left")
+
+
+def prefix(df: DataFrame, keys: Sequence[str], value: str, out: str, how: str = "sum",
+           pos: str = "_pos", block: int = BLOCK) -> DataFrame:
+    """Running sum or max of ``value`` by position (inclusive), block-wise."""
+    keys = list(keys)
+    agg = F.sum if how == "sum" else F.max
+    d = df.withColumn("_blk", F.floor((F.col(pos) - 1) / block).cast("long"))
+    tot = d.groupBy(*keys, "_blk").agg(agg(value).alias("_bt"))
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tot.select(*keys, "_blk", agg("_bt").over(before).alias("_carry"))   # one row per block
+    w = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_local", agg(value).over(w)).join(carry, [*keys, "_blk"], "left")
+    if how == "sum":
+        res = F.when(F.col("_local").isNull() & F.col("_carry").isNull(), F.lit(None)) \
+               .otherwise(F.coalesce("_local", F.lit(0)) + F.coalesce("_carry", F.lit(0)))
+    else:
+        res = F.greatest("_local", "_carry")
+    return d.withColumn(out, res).drop("_blk", "_local", "_carry")
+
+
+def group_value(df: DataFrame, keys: Sequence[str], expr: Column, out: str) -> DataFrame:
+    """Attach a per-group aggregate (a group constant) to every row."""
+    keys = list(keys)
+    return df.join(df.groupBy(*keys).agg(expr.alias(out)), keys, "left")
+
+
+def sticky_phase(df: DataFrame, pairs: Sequence[tuple[str, str]], key: str = "flight_id",
+                 col: str = "phase", pos: str = "_pos") -> DataFrame:
+    """Sticky labels on runs instead of points.
+
+    A (to -> from) step can only happen where the label changes, so the
+    points are reduced to runs of equal labels: one lag join marks the run
+    starts, a block prefix sum numbers them, and the per-run table (one row
+    per label change, far smaller than the points) takes the sequential
+    passes with windows.  One join maps the final labels back.
+    """
+    d = shifted(df, [key], [col], 1, pos, prefix="_p_")
+    start = (~F.col(col).eqNullSafe(F.col(f"_p_{col}"))).cast("int")
+    d = prefix(d.withColumn("_start", start), [key], "_start", "_run", "sum", pos).drop("_start", f"_p_{col}")
+    runs = d.groupBy(key, "_run").agg(F.first(col, ignorenulls=False).alias(col))
+    w = Window.partitionBy(key).orderBy("_run")
+    wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for frm, to in pairs:
+        hit = F.coalesce((F.lag(col).over(w) == F.lit(to)) & (F.col(col) == F.lit(frm)), F.lit(False))
+        runs = runs.withColumn("_hit", hit.cast("int"))
+        runs = runs.withColumn(col, F.when((F.col(col) == F.lit(frm)) & (F.max("_hit").over(wr) > 0), F.lit(to))
+                               .otherwise(F.col(col))).drop("_hit")
+    return d.drop(col).join(runs, [key, "_run"], "left").drop("_run")

@@ -23,6 +23,7 @@ from ..functions.nulls import clean_floats, finite, safe_div
 from .dims import broadcast_bounded
 from .sequence import (KEY, ORDER, epoch_seconds, last_by_order, first_by_order, ordered,
                        running, sticky_phase, whole)
+from . import hotpath as hp
 from .ranks import order_stats
 
 POINT_COLS = ["flight_id", "event_id", "timestamp", "latitude", "longitude", "altitude",
@@ -40,8 +41,17 @@ N_SAMPLES = 10
 TRIM = 0.05
 
 
-def climb_rate(points: DataFrame, n: int = 10) -> DataFrame:
-    """Fill missing vertical_rate with the rate over the next ``n`` samples (ft/min)."""
+def climb_rate(points: DataFrame, n: int = 10, hot: bool = False) -> DataFrame:
+    """Fill missing vertical_rate with the rate over the next ``n`` samples (ft/min).
+
+    ``hot``: points carry ``_pos`` and the lead is a join on position.
+    """
+    if hot:
+        d = hp.shifted(points, [KEY], ["altitude", "timestamp"], -n, prefix="_ld_")
+        dt = epoch_seconds("_ld_timestamp") - epoch_seconds("timestamp")
+        vs = safe_div(F.col("_ld_altitude") - F.col("altitude"), dt) * 60
+        return (d.withColumn("vertical_rate", F.coalesce(F.col("vertical_rate"), vs))
+                 .drop("_ld_altitude", "_ld_timestamp"))
     w = ordered()
     dt = epoch_seconds(F.lead("timestamp", n).over(w)) - epoch_seconds("timestamp")
     vs = safe_div(F.lead("altitude", n).over(w) - F.col("altitude"), dt) * 60
@@ -49,7 +59,7 @@ def climb_rate(points: DataFrame, n: int = 10) -> DataFrame:
 
 
 def attach_airports(points: DataFrame, flights: DataFrame, airports: DataFrame,
-                    max_airports: int = 200_000) -> DataFrame:
+                    max_airports: int = 200_000, hot: bool = False) -> DataFrame:
     """Left joins: points -> flight (adep, ades) -> airport coordinates by role.
 
     The airport table is a bounded dimension and is broadcast only after its
@@ -64,6 +74,18 @@ def attach_airports(points: DataFrame, flights: DataFrame, airports: DataFrame,
                     F.col("lat").alias("ades_lat"), F.col("altitude").alias("ades_altitude"))
     p = points.join(f, "flight_id", "left").join(dep, "adep", "left").join(arr, "ades", "left")
     # Missing airport coordinates fall back to the last / first point of the flight.
+    if hot:
+        o = F.struct(*ORDER)
+        ends = points.groupBy(KEY).agg(
+            F.max_by("longitude", o).alias("_llon"), F.max_by("latitude", o).alias("_llat"),
+            F.min_by("longitude", o).alias("_flon"), F.min_by("latitude", o).alias("_flat"))
+        p = p.join(ends, KEY, "left")
+        return p.withColumns({
+            "ades_lon": F.coalesce(F.col("ades_lon"), F.col("_llon")),
+            "ades_lat": F.coalesce(F.col("ades_lat"), F.col("_llat")),
+            "adep_lon": F.coalesce(F.col("adep_lon"), F.col("_flon")),
+            "adep_lat": F.coalesce(F.col("adep_lat"), F.col("_flat")),
+        }).drop("_llon", "_llat", "_flon", "_flat")
     return p.withColumns({
         "ades_lon": F.coalesce(F.col("ades_lon"), last_by_order("longitude")),
         "ades_lat": F.coalesce(F.col("ades_lat"), last_by_order("latitude")),
@@ -73,11 +95,17 @@ def attach_airports(points: DataFrame, flights: DataFrame, airports: DataFrame,
 
 
 def assign_phases(points: DataFrame, flights: DataFrame, airports: DataFrame,
-                  sticky: bool = True, short_route: bool = True) -> DataFrame:
-    """Points with airport distances (NM) and a flight phase per point."""
+                  sticky: bool = True, short_route: bool = True, hot: bool = False) -> DataFrame:
+    """Points with airport distances (NM) and a flight phase per point.
+
+    ``hot=True`` computes the same columns without per-flight windows (see
+    ``hotpath``); the result then also carries the position ``_pos``.
+    """
     p = clean_floats(points.select(*POINT_COLS))
-    p = climb_rate(p)
-    p = attach_airports(p, flights, airports)
+    if hot:
+        p = hp.positions(p, [KEY])
+    p = climb_rate(p, hot=hot)
+    p = attach_airports(p, flights, airports, hot=hot)
     p = p.withColumns({
         "dist_adep": haversine_nm("longitude", "latitude", "adep_lon", "adep_lat"),
         "dist_ades": haversine_nm("longitude", "latitude", "ades_lon", "ades_lat"),
@@ -85,7 +113,7 @@ def assign_phases(points: DataFrame, flights: DataFrame, airports: DataFrame,
     })
     p = p.withColumn("phase", phase_initial())
     if sticky:
-        p = sticky_phase(p, STICKY_PAIRS)
+        p = hp.sticky_phase(p, STICKY_PAIRS) if hot else sticky_phase(p, STICKY_PAIRS)
     if short_route:
         p = p.withColumn("phase", phase_short_route(F.col("phase")))
     return p
@@ -103,17 +131,23 @@ def _physics(df: DataFrame) -> DataFrame:
                            "specific_energy": specific_energy(tas)})
 
 
-def phase_summary_long(phased: DataFrame) -> DataFrame:
+def phase_summary_long(phased: DataFrame, hot: bool = False) -> DataFrame:
     """12 features per (flight, summary phase) present in the points."""
     merge = F.create_map(*[x for kv in SUMMARY_MERGE.items() for x in map(F.lit, kv)])
     s = (phased.where(F.col("phase").isin(*SUMMARY_MERGE))
                .withColumn("phase", merge[F.col("phase")]))
     keys = [KEY, "phase"]
-    w = ordered(keys)
+    if hot:
+        s = hp.positions(s.drop("_pos"), keys)
+        s = hp.shifted(s, keys, ["longitude", "latitude", "timestamp"], 1)
+        prev_lon, prev_lat, prev_ts = F.col("_lag_longitude"), F.col("_lag_latitude"), F.col("_lag_timestamp")
+    else:
+        w = ordered(keys)
+        prev_lon, prev_lat = F.lag("longitude").over(w), F.lag("latitude").over(w)
+        prev_ts = F.lag("timestamp").over(w)
     s = _physics(s).withColumns({
-        "step_m": haversine_m("longitude", "latitude", F.lag("longitude").over(w),
-                              F.lag("latitude").over(w)),
-        "timelag": epoch_seconds("timestamp") - epoch_seconds(F.lag("timestamp").over(w)),
+        "step_m": haversine_m("longitude", "latitude", prev_lon, prev_lat),
+        "timelag": epoch_seconds("timestamp") - epoch_seconds(prev_ts),
         "track_rad": F.radians("track"),
         "gs_ms": F.col("groundspeed") * F.lit(KT_TO_MS),
     }).withColumn("wind_distance", F.col("tailwind_speed") * F.col("timelag"))
@@ -135,18 +169,18 @@ def phase_summary_long(phased: DataFrame) -> DataFrame:
          "average_humidity": "specific_humidity", "average_altitude": "altitude"},
         trims={"average_vertical_rate": TRIM, "average_airspeed": TRIM, "groundspeed": TRIM,
                "average_temperature": TRIM, "average_humidity": TRIM, "average_altitude": TRIM},
-        quantiles={"cruise_altitude": ("average_altitude", 0.99)}, method="window")
+        quantiles={"cruise_altitude": ("average_altitude", 0.99)}, method="sort" if hot else "window")
     return basic.join(stats, keys, "left")
 
 
-def phase_summary(phased: DataFrame) -> DataFrame:
+def phase_summary(phased: DataFrame, hot: bool = False) -> DataFrame:
     """One row per flight: ``<feature>_<phase>`` for the three summary phases.
 
     Every flight with points gets all phases (the reference completes the
     (flight, phase) grid): for a phase without points the two sums are 0 and
     every other feature is null.
     """
-    long = phase_summary_long(phased)
+    long = phase_summary_long(phased, hot)
     aggs = []
     for feat in SUMMARY_FEATURES:
         for ph in SUMMARY_PHASES:
@@ -163,17 +197,26 @@ def phase_summary(phased: DataFrame) -> DataFrame:
     return out.fillna(0.0, subset=[f"{f}_{p}" for f in SUM_FEATURES for p in SUMMARY_PHASES])
 
 
-def energy_10nm(phased: DataFrame, max_nm: float = 10.0, start_nm: float = 2.0) -> DataFrame:
+def energy_10nm(phased: DataFrame, max_nm: float = 10.0, start_nm: float = 2.0,
+                hot: bool = False) -> DataFrame:
     """Energy, TAS and ground speed at the last climb point within ``max_nm``
     flown from the start of the DEP_40 climb (flights starting within ``start_nm``)."""
     c = phased.where((F.col("phase") == "DEP_40") & (F.col("vertical_rate") > 0))
-    w = ordered()
-    c = c.withColumn("_first", first_by_order("dist_adep")).where(F.col("_first") < start_nm)
-    step = F.coalesce(haversine_m("longitude", "latitude", F.lag("longitude").over(w),
-                                  F.lag("latitude").over(w)), F.lit(0.0))
-    c = (c.withColumn("_step", step)
-          .withColumn("_cum", F.sum("_step").over(running()) * F.lit(M_TO_NM))
-          .where(F.col("_cum") <= max_nm))
+    if hot:
+        c = hp.positions(c.drop("_pos"), [KEY])
+        c = hp.group_value(c, [KEY], F.min_by("dist_adep", F.col("_pos")), "_first").where(F.col("_first") < start_nm)
+        c = hp.shifted(c, [KEY], ["longitude", "latitude"], 1)
+        step = F.coalesce(haversine_m("longitude", "latitude", "_lag_longitude", "_lag_latitude"), F.lit(0.0))
+        c = hp.prefix(c.withColumn("_step", step), [KEY], "_step", "_cum_m", "sum")
+        c = c.withColumn("_cum", F.col("_cum_m") * F.lit(M_TO_NM)).where(F.col("_cum") <= max_nm)
+    else:
+        w = ordered()
+        c = c.withColumn("_first", first_by_order("dist_adep")).where(F.col("_first") < start_nm)
+        step = F.coalesce(haversine_m("longitude", "latitude", F.lag("longitude").over(w),
+                                      F.lag("latitude").over(w)), F.lit(0.0))
+        c = (c.withColumn("_step", step)
+              .withColumn("_cum", F.sum("_step").over(running()) * F.lit(M_TO_NM))
+              .where(F.col("_cum") <= max_nm))
     c = _physics(c)
     o = F.struct("_cum", *ORDER)
     return c.groupBy(KEY).agg(
@@ -209,47 +252,62 @@ def climb_samples(phased: DataFrame, radius_nm: float = 2.0, n: int = N_SAMPLES)
     return a.groupBy(KEY).agg(*aggs)
 
 
-def _before_top(base: DataFrame) -> DataFrame:
+def _before_top(base: DataFrame, hot: bool = False) -> DataFrame:
     """Rows before the first row at the flight's highest rounded altitude."""
-    w = ordered()
     b = (base.withColumn("alt2", F.bround("altitude", -2))
-             .withColumn("time", epoch_seconds("timestamp"))
-             .withColumn("rn", F.row_number().over(w))
-             .withColumn("altmax", F.max("alt2").over(whole())))
-    b = b.withColumn("position", F.min(F.when(F.col("alt2") == F.col("altmax"), F.col("rn")))
-                     .over(whole()))
+             .withColumn("time", epoch_seconds("timestamp")))
+    if hot:
+        b = hp.positions(b.drop("_pos"), [KEY], out="rn")
+        b = hp.group_value(b, [KEY], F.max("alt2"), "altmax")
+        top = b.where(F.col("alt2") == F.col("altmax")).groupBy(KEY).agg(F.min("rn").alias("position"))
+        b = b.join(top, KEY, "left")
+    else:
+        w = ordered()
+        b = (b.withColumn("rn", F.row_number().over(w))
+              .withColumn("altmax", F.max("alt2").over(whole())))
+        b = b.withColumn("position", F.min(F.when(F.col("alt2") == F.col("altmax"), F.col("rn")))
+                         .over(whole()))
     return b.where(F.col("rn") < F.col("position"))
 
 
-def _level_time(df: DataFrame, vs_limit: float) -> DataFrame:
+def _with_next(df: DataFrame, cols, hot: bool) -> DataFrame:
+    """Attach ``_nx_<col>``: the value on the next kept row of the flight."""
+    if hot:
+        d = hp.positions(df.drop("_pos"), [KEY])
+        return hp.shifted(d, [KEY], cols, -1, prefix="_nx_").drop("_pos")
     w = ordered()
-    lt = F.when(F.abs("vertical_rate") < vs_limit, F.lead("time").over(w) - F.col("time")) \
+    return df.withColumns({f"_nx_{c}": F.lead(c).over(w) for c in cols})
+
+
+def _level_time(df: DataFrame, vs_limit: float, hot: bool = False,
+                extra=()) -> DataFrame:
+    df = _with_next(df, ["time", *extra], hot)
+    lt = F.when(F.abs("vertical_rate") < vs_limit, F.col("_nx_time") - F.col("time")) \
           .otherwise(F.lit(0.0))
     return df.withColumn("leveltime", F.coalesce(lt, F.lit(0.0)))
 
 
 def level_flight_flag(phased: DataFrame, radius_nm: float = 200.0, vs_limit: float = 300.0,
-                      box: float = 0.99) -> DataFrame:
+                      box: float = 0.99, hot: bool = False) -> DataFrame:
     """Flights with level time inside the top box before top of climb."""
-    b = _before_top(_airborne_near_departure(phased, radius_nm))
+    b = _before_top(_airborne_near_departure(phased, radius_nm), hot)
     b = b.withColumn("altlimit2", F.col("altmax") * F.lit(box)).where(F.col("altitude") > F.col("altlimit2"))
-    b = _level_time(b, vs_limit)
+    b = _level_time(b, vs_limit, hot)
     g = b.groupBy(KEY).agg(F.sum("leveltime").alias("_t"), F.first("altlimit2").alias("altlimit2"))
     return g.where(F.col("_t") > 0).select(KEY, "altlimit2", F.lit(1).alias("box_flag"))
 
 
 def level_flight_kpi(phased: DataFrame, flags: DataFrame | None = None, radius_nm: float = 200.0,
-                     vs_limit: float = 300.0, box: float = 0.99) -> DataFrame:
+                     vs_limit: float = 300.0, box: float = 0.99, hot: bool = False) -> DataFrame:
     """Level-flight distance/time and climb distance/time below the altitude limit."""
     if flags is None:
-        flags = level_flight_flag(phased, radius_nm, vs_limit, box)
+        flags = level_flight_flag(phased, radius_nm, vs_limit, box, hot)
     base = _airborne_near_departure(phased, radius_nm).join(flags, KEY, "left")
-    b = _before_top(base)
+    b = _before_top(base, hot)
     limit = F.when(F.coalesce(F.col("box_flag"), F.lit(0)) == 1, F.col("altlimit2")).otherwise(F.col("altmax"))
     b = b.where(F.col("altitude") < limit)
-    b = _level_time(b, vs_limit)
-    w = ordered()
-    nxt = haversine_m("longitude", "latitude", F.lead("longitude").over(w), F.lead("latitude").over(w))
+    b = _level_time(b, vs_limit, hot, extra=("longitude", "latitude"))
+    nxt = haversine_m("longitude", "latitude", "_nx_longitude", "_nx_latitude")
     b = b.withColumns({
         "leveldistance": F.coalesce(F.when(F.col("leveltime") > 0, nxt).otherwise(F.lit(0.0)), F.lit(0.0)),
         "flown_next": nxt,
@@ -276,18 +334,57 @@ def materialize_phased(phased: DataFrame) -> DataFrame:
     return checkpoint_partitioned(phased)
 
 
-def trajectory_features(points: DataFrame, flights: DataFrame, airports: DataFrame,
-                        materialize: bool = True) -> DataFrame:
-    """One row per flight with points: 34 phase + 3 energy + 4 lift-off +
-    60 sample + 4 level-flight features (105 columns after ``flight_id``)."""
-    phased = assign_phases(points, flights, airports)
+# A flight with more points than this goes through the window-free path.
+HOT_FLIGHT_POINTS = 2_000_000
+
+
+def _features(points: DataFrame, flights: DataFrame, airports: DataFrame, materialize: bool,
+              hot: bool) -> DataFrame:
+    phased = assign_phases(points, flights, airports, hot=hot)
+    if hot:
+        phased = phased.drop("_pos")
     if materialize:
         phased = materialize_phased(phased)
-    out = (phase_summary(phased)
-           .join(energy_10nm(phased), KEY, "left")
-           .join(liftoff(phased), KEY, "left")
-           .join(climb_samples(phased), KEY, "left")
-           .join(level_flight_kpi(phased), KEY, "left"))
+    return (phase_summary(phased, hot)
+            .join(energy_10nm(phased, hot=hot), KEY, "left")
+            .join(liftoff(phased), KEY, "left")
+            .join(climb_samples(phased), KEY, "left")
+            .join(level_flight_kpi(phased, hot=hot), KEY, "left"))
+
+
+def hot_flights(points: DataFrame, threshold: int) -> DataFrame:
+    """Flights with more than ``threshold`` points (partial aggregation, one pass)."""
+    return (points.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
+                  .where(F.col("_n") > threshold).select(KEY))
+
+
+def trajectory_features(points: DataFrame, flights: DataFrame, airports: DataFrame,
+                        materialize: bool = True, hot_threshold: int | None = HOT_FLIGHT_POINTS,
+                        max_hot_broadcast: int = 5_000_000) -> DataFrame:
+    """One row per flight with points: 34 phase + 3 energy + 4 lift-off +
+    60 sample + 4 level-flight features (105 columns after ``flight_id``).
+
+    Flights above ``hot_threshold`` points (at most N / threshold of them,
+    so their id list is small and is broadcast when within
+    ``max_hot_broadcast``) are computed without per-flight windows; the
+    others with the window plan.  ``hot_threshold=0`` sends every flight
+    through the window-free path, ``None`` none.
+    """
+    if hot_threshold is None:
+        return clean_floats(_features(points, flights, airports, materialize, hot=False))
+    hot_ids = hot_flights(points, hot_threshold)
+    n_hot = hot_ids.count()
+    if n_hot == 0:
+        return clean_floats(_features(points, flights, airports, materialize, hot=False))
+    ids = F.broadcast(hot_ids) if n_hot <= max_hot_broadcast else hot_ids
+    normal = points.join(ids, KEY, "left_anti")
+    hot = points.join(ids, KEY, "left_semi")
+    parts = [_features(hot, flights, airports, materialize, hot=True)]
+    if n_hot < points.select(KEY).distinct().limit(n_hot + 1).count():
+        parts.append(_features(normal, flights, airports, materialize, hot=False))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return clean_floats(out)
 
 

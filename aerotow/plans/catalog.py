@@ -130,3 +130,12 @@ from . import q_io  # noqa: E402,F401
 from . import q_jobs  # noqa: E402,F401
 
 from . import q_misc  # noqa: E402,F401
+
+
+@register("trajectory_features_hot")
+def q_trajectory_features_hot(spark, sf):
+    """The flagship query with every flight sent through the window-free
+    (hot-flight) path; must equal ``trajectory_features``."""
+    t = tr.trajectory_features(fx.fx_traj(spark, sf), fx.fx_flights(spark, sf), fx.fx_airports(spark, sf),
+                               hot_threshold=0)
+    return t.transform(normalise)

@@ -20,3 +20,5 @@ ORACLE["parse_timestamp"] = (
     "select o_orderkey, strftime(ts, '%Y-%m-%d') as day from (select o_orderkey, "
     "try_cast(case when o_orderkey % 17 = 0 then 'not a date' else strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end "
     "as timestamp) as ts from orders) q where ts is not null")
+
+ORACLE["trajectory_features_hot"] = ORACLE["trajectory_features"]
