@@ -48,18 +48,20 @@ def trajectory_table(points: DataFrame, flights: DataFrame, airports: DataFrame)
     return flights.join(trajectory_features(points, flights, airports), "flight_id")
 
 
-def _tabular(df: DataFrame, fit: DataFrame | None) -> DataFrame:
-    """Calendar -> durations -> regions -> products -> bins -> ratios (fits on ``fit`` or self)."""
-    src = tb.time_features(df)
-    fit_src = tb.time_features(fit) if fit is not None else src
-    med = tb.fit_duration_medians(fit_src)
-    out = tb.duration_features(src, med)
-    out = tb.interactions(tb.region_features(out))
-    fit_out = tb.interactions(tb.region_features(tb.duration_features(fit_src, med))) if fit is not None else out
-    edges = tb.fit_qcut(fit_out, list(tb.QCUT_COLUMNS.values()))
-    out = tb.qcut(out, edges=edges)
-    rmed = tb.fit_ratio_medians(fit_out)
-    return tb.ratios(out, rmed)
+def fit_tabular(fit: DataFrame) -> dict:
+    """Fitted state of the tabular features: duration medians, quintile edges, ratio medians."""
+    src = tb.time_features(fit)
+    med = tb.fit_duration_medians(src)
+    out = fr.materialize(tb.interactions(tb.region_features(tb.duration_features(src, med))))
+    return {"durations": med, "edges": tb.fit_qcut(out, list(tb.QCUT_COLUMNS.values())),
+            "ratios": tb.fit_ratio_medians(out)}
+
+
+def apply_tabular(df: DataFrame, state: dict) -> DataFrame:
+    """Calendar -> durations -> regions -> products -> bins -> ratios with fitted state."""
+    out = tb.duration_features(tb.time_features(df), state["durations"])
+    out = tb.qcut(tb.interactions(tb.region_features(out)), edges=state["edges"])
+    return tb.ratios(out, state["ratios"])
 
 
 def flight_feature_frame(flights: DataFrame, traj: DataFrame, faa: DataFrame, extra: DataFrame,
@@ -69,10 +71,9 @@ def flight_feature_frame(flights: DataFrame, traj: DataFrame, faa: DataFrame, ex
     """Plan B: (labelled frame, unlabelled frame) with aligned columns, target last."""
     base = fr.materialize(fr.dedupe_rows(flights.join(traj, "flight_id")))
     lab, unl = base.where(F.col(label).isNotNull()), base.where(F.col(label).isNull())
-    if fit_on == "self":
-        lab_f, unl_f = _tabular(lab, None), _tabular(unl, None)
-    else:
-        lab_f, unl_f = _tabular(lab, None), _tabular(unl, lab)
+    st_lab = fit_tabular(lab)
+    st_unl = fit_tabular(unl) if fit_on == "self" else st_lab
+    lab_f, unl_f = apply_tabular(lab, st_lab), apply_tabular(unl, st_unl)
     airports = tb.combine_airports(airport_sources)
     parts = []
     for part in (lab_f, unl_f):
@@ -87,8 +88,8 @@ def flight_feature_frame(flights: DataFrame, traj: DataFrame, faa: DataFrame, ex
     cats = [c for c in CATEGORICAL if c in lab_p.columns]
     cat_lab = en.fit_categories(lab_p, cats, max_categories)
     cat_unl = en.fit_categories(unl_p, cats, max_categories) if fit_on == "self" else cat_lab
-    lab_e = fr.target_last(en.one_hot_drop_first(lab_p, cat_lab), label)
-    unl_e = fr.align_columns(en.one_hot_drop_first(unl_p, cat_unl), lab_e.columns)
+    lab_e = fr.materialize(fr.target_last(en.one_hot_drop_first(lab_p, cat_lab), label))
+    unl_e = fr.materialize(fr.align_columns(en.one_hot_drop_first(unl_p, cat_unl), lab_e.columns))
     return lab_e, unl_e
 
 
@@ -101,11 +102,13 @@ def train_blend_submit(lab: DataFrame, unl: DataFrame, ids: DataFrame, numeric:
     lab = fr.materialize(en.split_holdout(lab, key, {"train": 0.8, "valid": 0.2}, seed)
                          .withColumn("is_valid", F.col("split") == "valid"))
     valid_preds, test_preds, info = {}, {}, {}
+    med = en.fit_medians(lab.where(F.col(label).isNotNull()), list(numeric))
     for fl in flavours:
         early, i1 = ml.fit_gbt(lab, label, numeric, categorical, max_iter=max_iter, flavour=fl, seed=seed,
-                               refit=False)
+                               refit=False, medians=med)
         valid_preds[fl] = ml.predict(early, lab.where("is_valid"), key, categorical, f"p_{fl}", i1["medians"])
-        full, i2 = ml.fit_gbt(lab, label, numeric, categorical, max_iter=max_iter, flavour=fl, seed=seed)
+        full, i2 = ml.fit_gbt(lab, label, numeric, categorical, max_iter=max_iter, flavour=fl, seed=seed,
+                              medians=med)
         test_preds[fl] = ml.predict(full, unl, key, categorical, "tow", i2["medians"])
         info[fl] = i2
     v = lab.where("is_valid").select(key, label)

@@ -36,5 +36,5 @@ def q_flight_feature_frame(spark, sf):
 def q_train_blend_submit(spark, sf):
     lab, unl = _frames(spark, sf)
     numeric = [c for c in fr.numeric_columns(lab, exclude=("flight_id", "tow"))]
-    sub, info = jobs.train_blend_submit(lab, unl, requested_ids(spark, sf), numeric, max_iter=10)
+    sub, info = jobs.train_blend_submit(lab, unl, requested_ids(spark, sf), numeric, max_iter=5)
     return sub.withColumn("tow", F.col("tow"))
