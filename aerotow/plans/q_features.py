@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import frame as fr
 from ..operators import tabular as tb
 from ..operators import trajectory as tr
 from ..sources import fixtures as fx
@@ -25,8 +26,10 @@ REGION_COLS = ["adep_region", "ades_region", "same_country_flight", "same_region
 
 
 def _phase_summary(spark, sf):
+    """Phase summary written once to the shared folder: the fits that follow
+    (medians, edges) each read it instead of recomputing the trajectory plan."""
     p = tr.assign_phases(fx.fx_traj(spark, sf), fx.fx_flights(spark, sf), fx.fx_airports(spark, sf))
-    return tr.phase_summary(p)
+    return fr.materialize(tr.phase_summary(p))
 
 
 @register("time_features")
