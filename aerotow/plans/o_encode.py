@@ -54,7 +54,7 @@ GAPPY = "og AS (select o_orderkey, case when o_orderkey % 7 <> 0 then o_totalpri
 ORACLE["running_mean_table"] = with_(GAPPY) + \
     f"select o_orderkey, {sig('v')} as v, {sig('avg(v) over (order by o_orderkey rows between unbounded preceding and current row)')} as mean_v from og"
 ORACLE["ffill_table"] = with_(GAPPY) + \
-    f"select o_orderkey, {sig('last_value(v ignore nulls) over (order by o_orderkey rows between unbounded preceding and current row)')} as v from og where o_orderkey > 3"
+    f"select o_orderkey, {sig('last_value(v ignore nulls) over (order by o_orderkey rows between unbounded preceding and current row)')} as v from og"
 ORACLE["clean_fill"] = with_("""c0 AS (select o_orderkey, case when o_orderkey % 11 = 0 then o_totalprice*1e12
   when o_orderkey % 13 = 0 then null else o_totalprice end as x from orders)""",
     "c1 AS (select o_orderkey, case when abs(x) <= 1e10 then x end as x from c0)",
