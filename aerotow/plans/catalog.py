@@ -53,7 +53,10 @@ def normalise(df: DataFrame, bits: int = 30) -> DataFrame:
 
 
 def _phased(spark, sf):
-    return tr.assign_phases(fx.fx_traj(spark, sf), fx.fx_flights(spark, sf), fx.fx_airports(spark, sf))
+    """Phased points written once (as ``trajectory_features`` does), so the
+    branches inside each operator do not recompute the window chain."""
+    return tr.materialize_phased(
+        tr.assign_phases(fx.fx_traj(spark, sf), fx.fx_flights(spark, sf), fx.fx_airports(spark, sf)))
 
 
 # ----------------------------------------------------------------- trajectory

@@ -28,7 +28,8 @@ REGION_COLS = ["adep_region", "ades_region", "same_country_flight", "same_region
 def _phase_summary(spark, sf):
     """Phase summary written once to the shared folder: the fits that follow
     (medians, edges) each read it instead of recomputing the trajectory plan."""
-    p = tr.assign_phases(fx.fx_traj(spark, sf), fx.fx_flights(spark, sf), fx.fx_airports(spark, sf))
+    p = tr.materialize_phased(
+        tr.assign_phases(fx.fx_traj(spark, sf), fx.fx_flights(spark, sf), fx.fx_airports(spark, sf)))
     return fr.materialize(tr.phase_summary(p))
 
 
