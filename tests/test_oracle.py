@@ -14,7 +14,7 @@ import pytest
 import __spark_entry__ as entry
 from aerotow.sources.tables import TABLES
 
-CORE = ["trajectory_features", "sticky_phase", "traj_phase_initial", "time_features", "duration_features",
+CORE = ["trajectory_features", "trajectory_features_hot", "sticky_phase", "traj_phase_initial", "time_features", "duration_features",
         "region_features", "qcut_lineitem", "airport_geometry", "dedupe_key_first", "missing_profile",
         "describe_lineitem", "correlation_lineitem", "histogram_price", "label_encode", "one_hot_align",
         "running_mean_table", "ffill_table", "clean_fill", "blend_weights", "classification_metrics",
