@@ -39,6 +39,10 @@ DROPPED_PIVOT = {"cruise_altitude_DEP_40", "cruise_altitude_ARR_100"}
 SAMPLE_MEASURES = ["tas", "sqrd_tas", "temperature", "adep_height", "altitude", "specific_energy"]
 N_SAMPLES = 10
 TRIM = 0.05
+# Trimmed-mean features of the phase summary: output name -> point column.
+SUMMARY_MEASURES = {"average_vertical_rate": "vertical_rate", "average_airspeed": "airspeed",
+                    "groundspeed": "gs_ms", "average_temperature": "temperature",
+                    "average_humidity": "specific_humidity", "average_altitude": "altitude"}
 
 
 def climb_rate(points: DataFrame, n: int = 10, hot: bool = False) -> DataFrame:
@@ -151,26 +155,47 @@ def phase_summary_long(phased: DataFrame, hot: bool = False) -> DataFrame:
         "track_rad": F.radians("track"),
         "gs_ms": F.col("groundspeed") * F.lit(KT_TO_MS),
     }).withColumn("wind_distance", F.col("tailwind_speed") * F.col("timelag"))
-    basic = s.groupBy(*keys).agg(
+    plain = [
         F.max("track_rad").alias("_mx"), F.min("track_rad").alias("_mn"),
         F.coalesce(F.sum("wind_distance"), F.lit(0.0)).alias("wind_distance"),
         F.max_by("specific_energy", F.struct(*ORDER)).alias("specific_energy"),
         F.coalesce(F.sum("step_m"), F.lit(0.0)).alias("flown_distance"),
         F.max("altitude").alias("max_altitude"),
-    ).withColumn(
+    ]
+
+    def with_track(df: DataFrame) -> DataFrame:
         # The wrap term adds 360 to a value in radians (kept as in the reference).
-        "track_variation", F.least(F.abs(F.col("_mx") - F.col("_mn")),
-                                   F.abs(F.col("_mx") - (F.col("_mn") + 360)))
-    ).drop("_mx", "_mn")
-    stats = order_stats(
-        s, keys,
-        {"average_vertical_rate": "vertical_rate", "average_airspeed": "airspeed",
-         "groundspeed": "gs_ms", "average_temperature": "temperature",
-         "average_humidity": "specific_humidity", "average_altitude": "altitude"},
-        trims={"average_vertical_rate": TRIM, "average_airspeed": TRIM, "groundspeed": TRIM,
-               "average_temperature": TRIM, "average_humidity": TRIM, "average_altitude": TRIM},
-        quantiles={"cruise_altitude": ("average_altitude", 0.99)}, method="sort" if hot else "window")
-    return basic.join(stats, keys, "left")
+        return df.withColumn("track_variation", F.least(F.abs(F.col("_mx") - F.col("_mn")),
+                                                        F.abs(F.col("_mx") - (F.col("_mn") + 360)))
+                             ).drop("_mx", "_mn")
+
+    if hot:
+        stats = order_stats(s, keys, SUMMARY_MEASURES, trims={o: TRIM for o in SUMMARY_MEASURES},
+                            quantiles={"cruise_altitude": ("average_altitude", 0.99)}, method="sort")
+        return with_track(s.groupBy(*keys).agg(*plain)).join(stats, keys, "left")
+    # One pass: a rank window per measure (all on the flight partitioning, so
+    # only sorts), then one aggregate for plain sums, trimmed means and the
+    # 99th percentile together.
+    grp = Window.partitionBy(*keys)
+    ranked = s.withColumns({
+        **{f"_r_{o}": F.when(F.col(m).isNotNull(),
+                             F.row_number().over(grp.orderBy(F.col(m).asc_nulls_last())))
+           for o, m in SUMMARY_MEASURES.items()},
+        **{f"_n_{o}": F.count(m).over(grp) for o, m in SUMMARY_MEASURES.items()},
+    })
+    aggs = list(plain)
+    for o, m in SUMMARY_MEASURES.items():
+        r, n = F.col(f"_r_{o}"), F.col(f"_n_{o}")
+        k = F.floor(n * F.lit(TRIM))
+        aggs.append(F.avg(F.when((r > k) & (r <= n - k), F.col(m))).alias(o))
+    r, n = F.col("_r_average_altitude"), F.col("_n_average_altitude")
+    h = (n - 1).cast("double") * F.lit(0.99)
+    aggs += [F.max(F.when(r == F.floor(h) + 1, F.col("altitude"))).alias("_qlo"),
+             F.max(F.when(r == F.ceil(h) + 1, F.col("altitude"))).alias("_qhi"),
+             F.max(h - F.floor(h)).alias("_qd")]
+    out = with_track(ranked.groupBy(*keys).agg(*aggs))
+    return out.withColumn("cruise_altitude", F.col("_qlo") + (F.col("_qhi") - F.col("_qlo")) * F.col("_qd")) \
+              .drop("_qlo", "_qhi", "_qd")
 
 
 def phase_summary(phased: DataFrame, hot: bool = False) -> DataFrame:
