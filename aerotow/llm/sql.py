@@ -62,7 +62,7 @@ SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'examp
   WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' ELSE own END AS verdict FROM r
 """
 
-_SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLE["op5_quality_rules"] = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_SPLIT} AS w FROM documents),
