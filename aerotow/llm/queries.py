@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licenses, quality, urls
-from .scratch import table
+from . import bpe, decontaminate, languages, licenses, quality, toxicity, urls, warc
+from .scratch import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def tokenizer_path() -> str:
+    """The installed public vocabulary that the BPE query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def register(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -47,3 +54,31 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("text_hash", "removed_share")
+
+
+@register
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.learning_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select(
+        "doc_id", (toxicity.remainder() == 1).alias("held_out"), "score", "predicted")
+
+
+@register
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(warc.plan(table(spark, sf_dir, "pages")), path)
+    return warc.report(warc.read(spark, path))
+
+
+@register
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = toxicity.remainder()
+    model = languages.fit(docs.where(fold != 1))
+    return languages.predict(docs, model).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
