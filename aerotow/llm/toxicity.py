@@ -1,14 +1,15 @@
 """Operator 7, toxicity by compression distance.
 
-Method: one zstandard dictionary is trained on windows of toxic text and one on windows of ordinary text. Every
-window of a document is compressed with both; the saving of the toxic dictionary over the ordinary one is the
-window's distance. A document's distances (largest saving, windows with a clear saving, their share) go through a
-logistic calibration that is fitted on labelled documents, which gives the score.
+Method: two zstandard dictionaries, one for toxic and one for ordinary text. Both hold the same content trained on
+ordinary windows, and each ends with the substrings that its own class's windows hold much more often than the
+other's; these tails are equally long, so that ordinary words compress alike with both. Every window of a document
+is compressed with both; what the toxic dictionary saves over the ordinary one is the window's distance. Counts of
+windows by distance, the largest and the sum go through a logistic calibration fitted on labelled documents, which
+gives the score and makes its threshold comparable between corpora.
 
-Training uses bounded samples, as parameters: ``WINDOWS`` windows per class for the dictionaries and ``ROWS``
-labelled documents for the calibration, both drawn by hash. Windows whose words are over-represented in a class
-(log odds within the sample) are given to that class's dictionary more often, so that few marked words among much
-ordinary text reach the dictionary. Scoring is one pass over whole texts without a shuffle.
+Training uses bounded samples, as parameters: ``WINDOWS`` windows per class for the dictionaries (those with the
+smallest hashes, kept so by every task) and about ``ROWS`` labelled documents for the calibration (by hash of the
+id). Scoring is one pass over whole texts without a shuffle.
 
 Defined cases: a null or empty text has no window and gets the calibrated score of no evidence; without labels of
 both classes every score is 0; repeated rows give repeated rows; further columns are ignored.
@@ -24,51 +25,55 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import SPACED, Words, slices, words
+from .scratch import written
+from .text import SPACED, Words, mix, slices, words
 
 #: Words of a window.
-WINDOW = 4
-#: Training windows per class, labelled rows of the calibration, bytes of a dictionary.
-WINDOWS = 40_000
+WINDOW = 8
+#: Training windows per class, and labelled rows of the calibration.
+WINDOWS = 20_000
 ROWS = 20_000
-DICTIONARY = 8 << 10
-#: A window with at least this saving in bytes is clear evidence.
-CLEAR = 3
+#: Bytes of the shared content and of a class's own tail.
+SHARED, OWN = 7_000, 1_024
+#: Windows are counted by these savings in bytes.
+STEPS = (1, 2, 3, 5)
 #: A document with at least this score is toxic.
 LIMIT = 0.7
+#: Labels up to this many rows (16 bytes each) are broadcast to the documents; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+_TEXT, _SEEN = "__compression_text", "__compression_evidence"
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries, and weights of (1, largest saving, log of clear windows + 1, their share)."""
+    """Dictionaries, and the calibration's weights of the evidence."""
 
     toxic: bytes
     plain: bytes
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = ()
 
 
-def _windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte ranges of consecutive runs of ``size`` words, and the text of each; a text's last run may be shorter."""
+def _windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word of consecutive runs of ``size`` words, their byte ranges' ends, and the text of each run;
+    a text's last run may be shorter."""
     counts = -(-w.counts // size)
     owner = np.repeat(np.arange(len(counts)), counts)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    a = w.first[:-1][owner] + number * size
-    b = np.minimum(a + size, w.first[1:][owner]) - 1
-    return w.starts[a], w.ends[b], owner
+    first = w.first[:-1][owner] + number * size
+    last = np.minimum(first + size, w.first[1:][owner]) - 1
+    return first, w.starts[first], w.ends[last], owner
 
 
-def _params() -> zstandard.ZstdCompressionParameters:
-    return zstandard.ZstdCompressionParameters(
+def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
+    params = zstandard.ZstdCompressionParameters(
         compression_level=3, window_log=15, hash_log=14, chain_log=14, min_match=3, search_log=4,
         strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
-
-
-def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
-    d = zstandard.ZstdCompressionDict(raw)
-    d.precompute_compress(compression_params=_params())
-    return zstandard.ZstdCompressor(dict_data=d, compression_params=_params())
+    d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
 
 
 def _lengths(c: zstandard.ZstdCompressor, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -79,64 +84,101 @@ def _lengths(c: zstandard.ZstdCompressor, data: bytes, starts: np.ndarray, ends:
     return np.fromiter((len(x) for x in got), np.int64, len(got))
 
 
-def _evidence(model: Model):
-    """Task: the distances of each document."""
+def evidence(w: Words, toxic: zstandard.ZstdCompressor, plain: zstandard.ZstdCompressor) -> np.ndarray:
+    """Row per text: 1, largest saving, log counts and shares of windows by saving, scaled sum, log of windows."""
+    n = len(w.first) - 1
+    most, total, of = np.zeros(n), np.zeros(n), np.ones(n)
+    counts = np.zeros((len(STEPS), n))
+    if len(w.starts):
+        _, starts, ends, owner = _windows(w, WINDOW)
+        data = w.data.tobytes()
+        saved = _lengths(plain, data, starts, ends) - _lengths(toxic, data, starts, ends)
+        np.maximum.at(most, owner, saved)
+        total = np.bincount(owner, saved, n)
+        of = np.maximum(np.bincount(owner, minlength=n), 1)
+        counts = np.array([np.bincount(owner, saved >= s, n) for s in STEPS])
+    return np.column_stack([np.ones(n), most, np.log1p(counts).T, (counts / of).T, total / np.sqrt(of), np.log(of)])
+
+
+def _with_evidence(model: Model):
+    """Task: all columns but the text copy, and the evidence."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, plain = _compressor(model.toxic), _compressor(model.plain)
-        for batch in slices(batches, "text"):
-            w = words(batch.column("text"), SPACED)
-            n = batch.num_rows
-            most, clear, of = np.zeros(n), np.zeros(n), np.zeros(n)
-            if len(w.starts):
-                starts, ends, owner = _windows(w, WINDOW)
-                data = w.data.tobytes()
-                saved = _lengths(plain, data, starts, ends) - _lengths(toxic, data, starts, ends)
-                np.maximum.at(most, owner, saved)
-                clear = np.bincount(owner, saved >= CLEAR, n)
-                of = np.bincount(owner, minlength=n)
-            extra = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "text"]
-            names = [f.name for f in batch.schema if f.name != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*extra, pa.array(most), pa.array(clear.astype(float)), pa.array(clear / np.maximum(of, 1))],
-                [*names, "most", "clear", "share"])
+        for batch in slices(batches, _TEXT):
+            x = evidence(words(batch.column(_TEXT), SPACED), toxic, plain)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            names = [f.name for f in batch.schema if f.name != _TEXT]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], [*names, _SEEN])
     return run
 
 
 def _sample_windows(rows: DataFrame) -> dict[int, list[bytes]]:
-    """At most ``WINDOWS`` training windows of each class: those with the smallest hashes."""
-    def cut(batches):
+    """The ``WINDOWS`` distinct windows of each class with the smallest hashes."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, dict[int, bytes]] = {0: {}, 1: {}}
+        bound = {0: np.uint64(2**64 - 1), 1: np.uint64(2**64 - 1)}
         for batch in slices(batches, "text"):
             w = words(batch.column("text"), SPACED)
             if not len(w.starts):
                 continue
-            starts, ends, owner = _windows(w, WINDOW)
-            raw = w.data.tobytes()
-            label = np.asarray(batch.column("label"))[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(
-                [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())], ["label", "w"])
-    cutup = rows.select("label", "text").mapInArrow(cut, "label int, w binary")
-    out = {}
-    for label in (0, 1):
-        # windows are a few words long, so the sample is a few megabytes
-        got = cutup.where(F.col("label") == label).where(F.length("w") <= 400).orderBy(F.xxhash64("w"), "w").limit(WINDOWS).collect()
-        out[label] = [bytes(r.w) for r in got]
+            first, starts, ends, owner = _windows(w, WINDOW)
+            place = np.arange(len(w.starts)) - np.repeat(first, np.diff(np.append(first, len(w.starts))))
+            h = mix(np.add.reduceat(w.hashes() * (2 * place + 1).astype(np.uint64), first))
+            label, raw = np.asarray(batch.column("label"))[owner], w.data.tobytes()
+            for k, have in kept.items():
+                for i in np.flatnonzero((label == k) & (h < bound[k]) & (ends - starts <= 400)).tolist():
+                    have[int(h[i])] = raw[starts[i]:ends[i]]
+                if len(have) > 2 * WINDOWS:
+                    kept[k] = {x: have[x] for x in sorted(have)[:WINDOWS]}
+                    bound[k] = np.uint64(max(kept[k]))
+        for k, have in kept.items():
+            best = sorted(have)[:WINDOWS]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(best), pa.int32()), pa.array([x >> 1 for x in best], pa.int64()),
+                                              pa.array([have[x] for x in best], pa.binary())], ["label", "h", "w"])
+    cutup = written(rows.select("label", "text").mapInArrow(cut, "label int, h bigint, w binary").dropDuplicates(["label", "h"]), "toxic-windows")
+    # a window has at most 400 bytes, so the samples are a few megabytes
+    return {k: [bytes(r.w) for r in cutup.where(F.col("label") == k).orderBy("h").limit(WINDOWS).collect()] for k in (0, 1)}
+
+
+def _grams(windows: list[bytes]) -> Counter:
+    """Substrings of 4 to 10 bytes of words (with the spaces around them): windows that hold them."""
+    out: Counter = Counter()
+    for w in windows:
+        held = set()
+        for x in w.split():
+            x = b" " + x + b" "
+            for n in range(4, 11):
+                held.update(x[i:i + n] for i in range(len(x) - n + 1))
+        out.update(held)
     return out
 
 
-def _dictionary(own: list[bytes], other: list[bytes]) -> bytes:
-    """A dictionary of windows of the class, those with its own words first among them."""
-    mine, theirs = (Counter(x for w in ws for x in w.split()) for ws in (own, other))
-    total, rest = sum(mine.values()) + 1, sum(theirs.values()) + 1
-    odds = {x: n * math.log((n / total) / ((theirs[x] + 1) / rest)) for x, n in mine.items() if n >= 5}
-    marked = sorted((x for x in odds if odds[x] > 10), key=lambda x: (-odds[x], x))[:400]
-    # a marked word with its frequency, then the class's ordinary windows
-    pure = [b" " + x + b" " for x in marked for _ in range(min(mine[x], 200))]
-    samples = [*own, *[b"".join(pure[i::97]) for i in range(97)]] if pure else own
+def _marks(own: Counter, n_own: int, other: Counter, n_other: int) -> bytes:
+    """Substrings that a class holds at least four times as often as the other, the most telling ones last."""
+    found = []
+    for g, n in own.items():
+        p, q = n / n_own, (other.get(g, 0) + 1) / n_other
+        if n >= 8 and p > 4 * q:
+            found.append((n * math.log(p / q) * (len(g) - 2), g))
+    tail = b""
+    for _, g in sorted(found, reverse=True):
+        if len(tail) + len(g) > OWN:
+            break
+        if g not in tail:
+            tail = g + tail
+    return tail
+
+
+def dictionaries(toxic: list[bytes], plain: list[bytes]) -> Model:
+    """The two dictionaries from windows of each class."""
     try:
-        content = zstandard.train_dictionary(DICTIONARY, samples, k=64, d=6).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: their bytes are the dictionary
-        return b" ".join([*own[:200], *pure])[-DICTIONARY:]
-    return content
+        shared = zstandard.train_dictionary(SHARED + 1024, plain, k=32, d=6).as_bytes()[-SHARED:]
+    except zstandard.ZstdError:  # too little to train on: the windows themselves
+        shared = b" ".join(plain)[-SHARED:]
+    t, p = _grams(toxic), _grams(plain)
+    tails = _marks(t, len(toxic), p, len(plain)), _marks(p, len(plain), t, len(toxic))
+    size = max(map(len, tails))
+    return Model(*(shared + x.rjust(size, b"\n") for x in tails))
 
 
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> Model | None:
@@ -146,12 +188,12 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     windows = _sample_windows(rows)
     if not windows[0] or not windows[1]:
         return None
-    model = Model(_dictionary(windows[1], windows[0]), _dictionary(windows[0], windows[1]))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS).mapInArrow(
-        _evidence(model), f"doc_id {dict(rows.dtypes)['doc_id']}, label int, most double, clear double, share double").collect()
-    x = np.array([[1.0, r.most, math.log1p(r.clear), r.share] for r in sample])
-    y = np.array([float(r.label) for r in sample])
-    return Model(model.toxic, model.plain, tuple(_logistic(x, y)))
+    model = dictionaries(windows[1], windows[0])
+    share = ROWS / max(rows.count(), 1)
+    sample = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    got = sample.select("label", F.col("text").alias(_TEXT)).mapInArrow(_with_evidence(model), f"label int, {_SEEN} array<double>").collect()
+    x, y = np.array([r[1] for r in got]).reshape(len(got), -1), np.array([float(r[0]) for r in got])
+    return Model(model.toxic, model.plain, tuple(_logistic(x, y).tolist())) if len(got) else None
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -166,32 +208,39 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return b
 
 
+def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """``docs`` with the score in the column ``_SEEN``."""
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    seen = docs.withColumn(_TEXT, F.col(text_col)).mapInArrow(_with_evidence(model), ", ".join([*fields, f"{_SEEN} array<double>"]))
+    z = sum((F.lit(b) * F.get(_SEEN, F.lit(i)) for i, b in enumerate(model.weights)), F.lit(0.0))
+    return seen.withColumn(_SEEN, 1 / (1 + F.exp(-z)))
+
+
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of every document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    seen = rows.mapInArrow(_evidence(model), f"doc_id {dict(rows.dtypes)['doc_id']}, most double, clear double, share double")
-    b = model.weights
-    z = F.lit(b[0]) + F.lit(b[1]) * F.col("most") + F.lit(b[2]) * F.log1p("clear") + F.lit(b[3]) * F.col("share")
-    out = seen.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
-    return out.withColumn("predicted", F.when(F.col("score") >= LIMIT, 1).otherwise(0))
+    narrow = rows.select("doc_id", "text")
+    return _scored(narrow, model, "text").select("doc_id", F.col(_SEEN).alias("score"), F.when(F.col(_SEEN) >= LIMIT, 1).otherwise(0).alias("predicted"))
 
 
-def remainder(id_col: str = "doc_id", by: int = 3):
+def remainder(id_col: str = "doc_id", by: int = 3) -> Column:
     """crc32 of the id as text modulo ``by``: the fold of a document."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(by))
 
 
-def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that are not predicted toxic by the model of their labelled rows."""
-    rows = learning_rows(docs, labels, id_col, text_col)
-    bad = score(docs, fit(rows), id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id")), "left_anti")
-
-
 def learning_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, label of the labelled documents outside the held-out fold."""
     known = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("label"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(remainder("doc_id") != 1)
+    known = known.where(remainder("_id") != 1)
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that are not predicted toxic by the model of their labelled rows."""
+    model = fit(learning_rows(docs, labels, id_col, text_col))
+    return docs if model is None else _scored(docs, model, text_col).where(F.col(_SEEN) < LIMIT).drop(_SEEN)
