@@ -8,7 +8,8 @@ A corpus is cut into blocks of about ``BLOCK_BYTES`` of text, written once to th
 A shard gathers one copy of each word per block, so a word that makes up a third of the corpus costs a shard one
 entry per block. The shard looks its distinct words up, and its answers go back to the blocks by an equi-join on
 the block. What is shuffled is one row per (block, shard), and the blocks' codes; never one row per word occurrence.
-The number of shards grows with the input. Blocks are read from the written table, never made twice.
+The number of shards grows with the input. Blocks are read from the written table, never made twice; the table is
+bucketed by block, so that only the answers are shuffled for the join back.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import written
+from .scratch import written_by
 from .text import slices, words
 
 BLOCK_BYTES = 16 << 20
@@ -70,10 +71,13 @@ class _Block:
         starts, ends = np.concatenate(self.starts), np.concatenate(self.ends)
         keys, at, code, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         length = ends - starts
-        # equal hashes must be equal words
-        inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        same = (length == length[at][code]).all() and (
-            data[np.repeat(starts, length) + inside] == data[np.repeat(starts[at][code], length) + inside]).all()
+        # equal hashes must be equal words; compared in runs of words, as positions take more room than bytes
+        same = bool((length == length[at][code]).all())
+        for i in range(0, len(length) if same else 0, 1 << 17):
+            n_bytes = length[i:i + (1 << 17)]
+            inside = np.arange(int(n_bytes.sum())) - np.repeat(np.cumsum(n_bytes) - n_bytes, n_bytes)
+            same &= bool((data[np.repeat(starts[i:i + (1 << 17)], n_bytes) + inside]
+                          == data[np.repeat(starts[at][code[i:i + (1 << 17)]], n_bytes) + inside]).all())
         raw = data.tobytes()
         if not same:
             number: dict[bytes, int] = {}
@@ -143,28 +147,41 @@ def build(rows: DataFrame, text_bytes: int, kind: np.ndarray, lower: bool, learn
         if b.rows:
             yield from flush(b)
 
-    table = written(rows.mapInArrow(cut, _SCHEMA), "blocks")
+    buckets = max(8, -(-text_bytes // BLOCK_BYTES))
+    table = written_by(rows.mapInArrow(cut, _SCHEMA), "blocks", "block", buckets)
     return Corpus(table.where("shard < 0").select("block", "rows", "counts", "codes"),
                   table.where("shard >= 0").select("block", "shard", "words", "numbers", "seen"), shards)
 
 
-def answer(corpus: Corpus, lookup: Callable[[list[bytes], np.ndarray], list[bytes]], given: DataFrame | None = None) -> DataFrame:
+def _gathered(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    """Distinct words of a shard, how often each was seen, and their numbers in every row (block) of the shard."""
+    number: dict[bytes, int] = {}
+    codes = [np.array([number.setdefault(w, len(number)) for w in unpack_words(x)]) for x in table.column("words").to_pylist()]
+    seen = np.zeros(len(number), np.int64)
+    for c, x in zip(codes, table.column("seen").to_pylist()):
+        seen[c] += unpack(x)
+    return list(number), seen, codes
+
+
+def per_shard(corpus: Corpus, make: Callable[[int, list[bytes], np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``make`` turns a shard's number, distinct words and counts into a table."""
+    def run(table: pa.Table) -> pa.Table:
+        distinct, seen, _ = _gathered(table)
+        return make(table.column("shard")[0].as_py(), distinct, seen)
+    return corpus.words.groupBy("shard").applyInArrow(lambda t: run(t), schema)
+
+
+def answer(corpus: Corpus, lookup: Callable[..., list[bytes]], given: DataFrame | None = None) -> DataFrame:
     """(block, numbers, answer) for every (block, shard): ``lookup`` maps a shard's distinct words, and how often each
     was seen, to bytes per word. With ``given`` (shard, ...), it gets the shard's rows of that table as well."""
     def run(table: pa.Table, rows: pa.Table | None = None) -> pa.Table:
-        lists = [unpack_words(x) for x in table.column("words").to_pylist()]
-        number: dict[bytes, int] = {}
-        codes = [np.array([number.setdefault(w, len(number)) for w in ws]) for ws in lists]
-        seen = np.zeros(len(number), np.int64)
-        for c, x in zip(codes, table.column("seen").to_pylist()):
-            seen[c] += unpack(x)
-        found = lookup(list(number), seen) if rows is None else lookup(list(number), seen, rows)
+        distinct, seen, codes = _gathered(table)
+        found = lookup(distinct, seen) if rows is None else lookup(distinct, seen, rows)
         out = []
         for c in codes:
             mine = [found[i] for i in c.tolist()]
-            sizes = np.array([len(x) for x in mine])
-            packed = zstandard.ZstdCompressor(level=3).compress(b"".join(mine))
-            out.append(len(a := pack(sizes)).to_bytes(4, "little") + a + packed)
+            sizes = pack(np.array([len(x) for x in mine]))
+            out.append(len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(mine)))
         return pa.table({"block": table.column("block"), "numbers": table.column("numbers"), "answer": pa.array(out, pa.binary())})
     schema = "block bigint, numbers binary, answer binary"
     if given is None:

@@ -32,6 +32,11 @@ def _pieces(tokenizer) -> list[str]:
     return out
 
 
+def _kind(tokenizer) -> str:
+    """The smallest number type that holds every id."""
+    return "<u2" if max(tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4"
+
+
 def _coded(docs: DataFrame, path: str, id_col: str, text_col: str):
     with open(path, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -48,25 +53,36 @@ def _coded(docs: DataFrame, path: str, id_col: str, text_col: str):
         t.no_truncation()
         t.no_padding()
         out: list[bytes] = []
+        kind = _kind(t)
         for at in range(0, len(words), 4096):
             got = t.encode_batch_fast([w.decode() for w in words[at:at + 4096]], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in got]
+            out += [np.array(e.ids, kind).tobytes() for e in got]
         return out
     return model, corpus, blocks.answer(corpus, encode), dict(rows.dtypes)["doc_id"]
 
 
 def _each(model, corpus, answers, schema: str, make) -> DataFrame:
-    """``make(names, texts)`` turns the pieces' strings of each text into columns."""
+    """``make`` turns the word numbers of each text, and the strings of the words' ids or pieces, into columns."""
     def use(rows: pa.Table, counts: np.ndarray, code: np.ndarray, found: list[bytes]) -> pa.Table:
         from tokenizers import Tokenizer
 
-        pieces = [p.encode() for p in _pieces(Tokenizer.from_str(model.value))]
-        ids = [np.frombuffer(x, "<u4").tolist() for x in found]
-        names = [b" ".join([b"%d" % i for i in x]) for x in ids]
-        texts = [b" ".join([pieces[i] for i in x]) for x in ids]
-        sizes = np.array([len(x) for x in ids], np.int64)
+        t = Tokenizer.from_str(model.value)
+        kind = _kind(t)
+        pieces = [p.encode() for p in _pieces(t)]
+        sizes = np.array([len(x) for x in found], np.int64) // np.dtype(kind).itemsize
+        flat = np.frombuffer(b"".join(found), kind)
+        stops = np.cumsum(sizes).tolist()
+        del found[:]
+
+        def strings(of: list[bytes]) -> list[bytes]:
+            """The string of each word's ids, with ``of`` for each id."""
+            out, at = [], 0
+            for stop in stops:
+                out.append(b" ".join([of[i] for i in flat[at:stop].tolist()]))
+                at = stop
+            return out
         ends = np.cumsum(counts)
-        return make(rows.column("doc_id"), ends - counts, ends, code, names, texts, sizes)
+        return make(rows.column("doc_id"), list(zip((ends - counts).tolist(), ends.tolist())), code, sizes, strings, pieces)
     return blocks.join_back(corpus, answers, use, schema)
 
 
@@ -74,8 +90,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """doc_id, ids: the token ids of every text."""
     model, corpus, answers, kind = _coded(docs, path, id_col, text_col)
 
-    def make(doc_id, starts, ends, code, names, texts, sizes):
-        lists = [[int(i) for i in b" ".join([names[c] for c in code[a:b].tolist() if names[c]]).split()] for a, b in zip(starts.tolist(), ends.tolist())]
+    def make(doc_id, ranges, code, sizes, strings, pieces):
+        names = strings([b"%d" % i for i in range(len(pieces))])
+        lists = [[int(i) for i in b" ".join([names[c] for c in code[a:b].tolist() if names[c]]).split()] for a, b in ranges]
         return pa.table({"doc_id": doc_id, "ids": pa.array(lists, pa.list_(pa.int32()))})
     return _each(model, corpus, answers, f"doc_id {kind}, ids array<int>", make)
 
@@ -102,14 +119,13 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text: its ids, and the text decoded from them."""
     model, corpus, answers, kind = _coded(docs, path, id_col, text_col)
 
-    def make(doc_id, starts, ends, code, names, texts, sizes):
-        n, ids, decoded = [], [], []
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            own = code[a:b]
-            n.append(int(sizes[own].sum()))
-            own = own.tolist()
-            ids.append(hashlib.sha256(b" ".join([names[c] for c in own if names[c]])).hexdigest())
-            decoded.append(hashlib.sha256(b" ".join([texts[c] for c in own if names[c]])).hexdigest())
+    def make(doc_id, ranges, code, sizes, strings, pieces):
+        def digests(of: list[bytes]) -> list[str]:
+            words = strings(of)
+            return [hashlib.sha256(b" ".join([words[c] for c in code[a:b].tolist() if words[c]])).hexdigest() for a, b in ranges]
+        n = [int(sizes[code[a:b]].sum()) for a, b in ranges]
+        ids = digests([b"%d" % i for i in range(len(pieces))])
+        decoded = digests(pieces)
         return pa.table({"doc_id": doc_id, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()),
                          "decoded_sha256": pa.array(decoded, pa.string())})
     return _each(model, corpus, answers, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)

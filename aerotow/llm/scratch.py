@@ -22,6 +22,15 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Like :func:`written`, in hash buckets of ``column``: joins and groups by it then need no shuffle of the table."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    known_as = "llm_" + path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(known_as)
+    return spark.table(known_as)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
