@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, languages, licenses, lm, quality, toxicity, urls, warc
+from . import bpe, decontaminate, jaccard, languages, licenses, lm, quality, toxicity, urls, warc
 from .scratch import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = toxicity.remainder(by=7) == 2
     scored = lm.score(table(spark, sf_dir, "documents"), ~held_out)
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
