@@ -7,6 +7,7 @@ Fitted state is small and lives on the driver: one scalar per column
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -132,6 +133,32 @@ def label_encode(df: DataFrame, cats: dict[str, list], suffix: str = "") -> Data
     return df.withColumns(cols)
 
 
+def fit_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, category, code) table: codes 0..k-1 of each column's distinct values in sorted order.
+
+    Numbers sort as numbers, strings by code point. Any number of categories: the codes come from the distributed
+    rank primitive over the distinct values, and nothing passes through the driver.
+    """
+    parts = []
+    for c in cols:
+        values = df.select(F.col(c).alias("_v")).where(F.col(c).isNotNull()).distinct()
+        ranked = rank_within(values, [], "_v")
+        parts.append(ranked.select(F.lit(c).alias("column"), F.col("_v").cast("string").alias("category"),
+                                   (F.col("_rank") - 1).cast("int").alias("code")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def label_encode_join(df: DataFrame, codes: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
+    """Codes of ``cols`` by joins with the table of :func:`fit_codes`; unseen values and nulls -> null.
+
+    The planner chooses the join from the code table's size; a frequent value is left to the skew join.
+    """
+    for c in cols:
+        own = codes.where(F.col("column") == c).select(F.col("category").alias("_category"), F.col("code").alias(f"{c}{suffix}"))
+        df = df.join(own, F.col(c).cast("string") == F.col("_category"), "left").drop("_category")
+    return df
+
+
 def cardinalities(cats: dict[str, list]) -> dict[str, int]:
     return {c: len(v) for c, v in cats.items()}
 
@@ -211,9 +238,13 @@ def split_holdout(df: DataFrame, id_col: str, fractions: dict[str, float], seed:
     return df.withColumn(out, label)
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 42, with_replacement: bool = True) -> DataFrame:
-    """Bootstrap-style sample (the sampling operator itself; rows may repeat)."""
-    return df.sample(withReplacement=with_replacement, fraction=fraction, seed=seed)
+def sample_rows(df: DataFrame, n: int, id_cols: Sequence[str], seed: int = 42) -> DataFrame:
+    """Exactly ``n`` rows (all, if there are fewer): those with the smallest hash of (ids, seed).
+
+    The draw depends on the ids alone, so it is the same for every partitioning and task retry.
+    """
+    return (df.withColumn("_draw", F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed)))
+              .orderBy("_draw", *id_cols).limit(n).drop("_draw"))
 
 
 # -------------------------------------------------------------------- noise
@@ -235,9 +266,9 @@ def swap_noise(df: DataFrame, cols: Sequence[str], lam: float, id_col: str, seed
     partner values arrive by one equi-join on the rank.
     """
     by_id = rank_within(df.select(id_col), [], id_col).select(id_col, F.col("_rank").alias("_k"))
-    shuf = df.select(id_col, F.xxhash64(F.col(id_col), F.lit(seed)).alias("_h"))
-    by_hash = rank_within(shuf, [], "_h").join(shuf, "_h").select(F.col("_rank").alias("_k"),
-                                                                 F.col(id_col).alias("_partner"))
+    # ranked by (hash, id): ids with equal hashes keep ranks of their own
+    shuffled = df.select(F.struct(F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"), F.col(id_col).alias("id")).alias("_h"))
+    by_hash = rank_within(shuffled, [], "_h").select(F.col("_rank").alias("_k"), F.col("_h.id").alias("_partner"))
     partner_of = by_id.join(by_hash, "_k").select(id_col, "_partner")
     donor = df.select(F.col(id_col).alias("_partner"), *[F.col(c).alias(f"_d_{c}") for c in cols])
     j = df.join(partner_of, id_col, "left").join(donor, "_partner", "left")

@@ -44,8 +44,9 @@ def anti(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 def reindex_to_ids(ids: DataFrame, table: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     """Exactly the requested ids, in their order (``pos``), nulls where absent.
 
-    ``table`` must have one row per key (see :func:`assert_unique`).
+    Raises when ``table`` holds one of its keys twice (:func:`assert_unique`).
     """
+    assert_unique(table, key)
     return ids.select(key, pos).join(table, key, "left").orderBy(pos)
 
 
@@ -213,6 +214,18 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
               "whisker_high double, outliers long")
 
 
+def histogram_edges(df: DataFrame, col: str, edges: Sequence[float]) -> DataFrame:
+    """(bin, low, high, count) over given ascending edges; bins are open to the right but for the last, values outside
+    are not counted. Gives the histograms of two sets the same bins."""
+    x = F.col(col).cast("double")
+    above = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= x)) - 1
+    counts = (df.where(x.between(float(edges[0]), float(edges[-1])))
+                .groupBy(F.least(above, F.lit(len(edges) - 2)).alias("bin")).agg(F.count(F.lit(1)).alias("count")))
+    grid = df.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(edges, edges[1:]))],
+                                           "bin int, low double, high double")
+    return grid.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+
+
 def histogram(df: DataFrame, col: str, bins: int = 200, density: bool = False) -> DataFrame:
     """Equal-width bins between min and max; the last bin includes the maximum.
 

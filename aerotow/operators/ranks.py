@@ -70,7 +70,12 @@ def rank_within(df: DataFrame, keys: Sequence[str], value: str,
     :func:`value_ranges`, so the work per task stays bounded.
     """
     r = value_ranges(df, keys, value, partitions)
-    return (r.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))))
+    # ties in two steps, so that no row's array is longer than 2^16 elements (2^32 ties of one value)
+    step = F.lit(1 << 16).cast("long")
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / step))
+    r = r.withColumn("_b", F.explode(blocks))
+    last = F.least(F.col("_c"), (F.col("_b") + 1) * step)
+    return (r.withColumn("_k", F.explode(F.sequence(F.col("_b") * step + 1, last)))
              .select(*keys, value, (F.col("_start") + F.col("_k")).alias("_rank"), "_n"))
 
 

@@ -206,13 +206,13 @@ def fit_qcut(df: DataFrame, cols: Sequence[str], q: int = 5) -> dict[str, list[f
 def qcut_code(x: Column, edges: Sequence[float]) -> Column:
     """Bin index for right-closed bins over ``edges``, lowest edge included.
 
-    index = (number of edges strictly below x) - 1, at least 0; null stays null.
+    The end bins are open: a value outside the edges, which were fitted on other rows, belongs to the first or the
+    last bin. Null stays null.
     """
     if len(edges) < 2:
         return F.lit(None).cast("int")
     below = sum((F.when(x > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
-    inside = (x >= F.lit(edges[0])) & (x <= F.lit(edges[-1]))
-    return F.when(x.isNotNull() & inside, F.greatest(below - 1, F.lit(0))).cast("int")
+    return F.when(x.isNotNull(), F.least(F.greatest(below - 1, F.lit(0)), F.lit(len(edges) - 2))).cast("int")
 
 
 def qcut(df: DataFrame, columns: dict[str, str] = QCUT_COLUMNS,
@@ -240,13 +240,22 @@ def join_aircraft(df: DataFrame, faa: DataFrame, extra: DataFrame | None = None,
     return out
 
 
-def combine_airports(sources: Sequence[DataFrame]) -> DataFrame:
+FT_TO_M = 0.3048
+
+
+def combine_airports(sources: Sequence[DataFrame], altitude_units: Sequence[str] | None = None) -> DataFrame:
     """Union of airport sources (icao, lat, lon, altitude); first source wins per code.
 
-    Within one source the earliest line wins (``line`` column if present).
+    Within one source the earliest line wins (``line`` column if present). ``altitude_units`` gives each source's
+    unit; altitudes in ``m`` are turned into feet, the unit of the result (default: all in ``ft``).
     """
     parts = []
+    units = list(altitude_units or ["ft"] * len(sources))
+    if len(units) != len(sources) or set(units) - {"ft", "m"}:
+        raise ValueError("altitude_units: one of 'ft' or 'm' for each source")
     for rank, s in enumerate(sources):
+        if units[rank] == "m":
+            s = s.withColumn("altitude", F.col("altitude") / F.lit(FT_TO_M))
         line = F.col("line") if "line" in s.columns else F.lit(0)
         parts.append(s.select("icao", "lat", "lon", "altitude",
                               F.lit(rank).alias("source_rank"), line.cast("long").alias("line")))
@@ -279,3 +288,12 @@ def route_geometry(df: DataFrame) -> DataFrame:
 def clip_to_bound(df: DataFrame, col: str = "tow", bound: str = "MTOW_kg") -> DataFrame:
     """col = bound where col > bound; a missing bound leaves the value."""
     return df.withColumn(col, F.when(F.col(col) > F.col(bound), F.col(bound)).otherwise(F.col(col)))
+
+
+def clip_counts(df: DataFrame, col: str = "tow", bound: str = "MTOW_kg") -> DataFrame:
+    """One row: rows over the bound before :func:`clip_to_bound`, and after it."""
+    over = F.sum((F.col(col) > F.col(bound)).cast("long"))
+    before = df.agg(F.coalesce(over, F.lit(0)).alias("over_before"), F.count(F.lit(1)).alias("n"))
+    after = clip_to_bound(df, col, bound).agg(F.coalesce(over, F.lit(0)).alias("over_after"))
+    return df.sparkSession.createDataFrame([(before.first()["over_before"], after.first()["over_after"], before.first()["n"])],
+                                           "over_before long, over_after long, n long")

@@ -12,10 +12,12 @@ partitioning, so the whole feature table costs one shuffle of the points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.flight import (PHASE_ORDER, STICKY_PAIRS, SUMMARY_MERGE, SUMMARY_PHASES,
+from ..functions.flight import (STICKY_PAIRS, SUMMARY_MERGE, SUMMARY_PHASES,
                                 airspeed, phase_initial, phase_short_route, specific_energy,
                                 tailwind)
 from ..functions.geo import KT_TO_MS, M_TO_NM, haversine_m, haversine_nm
@@ -23,6 +25,7 @@ from ..functions.nulls import clean_floats, finite, safe_div
 from .dims import broadcast_bounded
 from .sequence import (KEY, ORDER, epoch_seconds, last_by_order, first_by_order, ordered,
                        running, sticky_phase, whole)
+from ..session import bucketed
 from . import hotpath as hp
 from .ranks import order_stats
 
@@ -123,11 +126,6 @@ def assign_phases(points: DataFrame, flights: DataFrame, airports: DataFrame,
     return p
 
 
-def phase_rank() -> Column:
-    """Position of the phase in the fixed phase order (for sorting)."""
-    return F.array_position(F.array(*[F.lit(x) for x in PHASE_ORDER]), F.col("phase"))
-
-
 def _physics(df: DataFrame) -> DataFrame:
     tail = tailwind()
     tas = airspeed("groundspeed", tail)
@@ -135,8 +133,12 @@ def _physics(df: DataFrame) -> DataFrame:
                            "specific_energy": specific_energy(tas)})
 
 
-def phase_summary_long(phased: DataFrame, hot: bool = False) -> DataFrame:
-    """12 features per (flight, summary phase) present in the points."""
+def phase_summary_long(phased: DataFrame, hot: bool = False, wrap: str = "reference") -> DataFrame:
+    """12 features per (flight, summary phase) present in the points.
+
+    ``wrap``: how the track variation closes the circle. ``reference`` adds 360 to a value in radians, as the
+    reference does; ``circular`` takes the smaller arc between the extreme tracks.
+    """
     merge = F.create_map(*[x for kv in SUMMARY_MERGE.items() for x in map(F.lit, kv)])
     s = (phased.where(F.col("phase").isin(*SUMMARY_MERGE))
                .withColumn("phase", merge[F.col("phase")]))
@@ -163,10 +165,11 @@ def phase_summary_long(phased: DataFrame, hot: bool = False) -> DataFrame:
         F.max("altitude").alias("max_altitude"),
     ]
 
+    turn = {"reference": F.lit(360.0), "circular": F.lit(2 * math.pi)}[wrap]
+
     def with_track(df: DataFrame) -> DataFrame:
-        # The wrap term adds 360 to a value in radians (kept as in the reference).
         return df.withColumn("track_variation", F.least(F.abs(F.col("_mx") - F.col("_mn")),
-                                                        F.abs(F.col("_mx") - (F.col("_mn") + 360)))
+                                                        F.abs(F.col("_mx") - (F.col("_mn") + turn)))
                              ).drop("_mx", "_mn")
 
     if hot:
@@ -346,17 +349,23 @@ def level_flight_kpi(phased: DataFrame, flags: DataFrame | None = None, radius_n
     return g.fillna(0.0)
 
 
-def materialize_phased(phased: DataFrame) -> DataFrame:
-    """Write the phased points once to the shared checkpoint folder.
+#: Points of a bucket of the phased points (about 100 bytes each).
+BUCKET_POINTS = 1_000_000
+
+
+def point_buckets(points: DataFrame) -> int:
+    """Number of buckets for the points, from their count (a pass over one column)."""
+    least = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-points.select(KEY).count() // BUCKET_POINTS))
 
-    Five feature branches read them; without this each branch would redo the
-    scan, the shuffle and the whole window chain.  The checkpoint keeps the
-    hash partitioning on ``flight_id``, so the branches add no shuffle of the
-    points, and it cuts the lineage (executor loss re-reads, not recomputes).
-    """
-    from ..session import checkpoint_partitioned
 
-    return checkpoint_partitioned(phased)
+def materialize_phased(phased: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Write the phased points once to the shared folder, in buckets of the flight.
+
+    The feature branches read them from there: without a shuffle, as every step is keyed by the flight, and with
+    column pruning. The written table also cuts the lineage (executor loss re-reads, not recomputes).
+    """
+    return bucketed(phased, KEY, buckets or point_buckets(phased), "phased_points")
 
 
 # A flight with more points than this goes through the window-free path.
@@ -365,11 +374,15 @@ HOT_FLIGHT_POINTS = 2_000_000
 
 def _features(points: DataFrame, flights: DataFrame, airports: DataFrame, materialize: bool,
               hot: bool) -> DataFrame:
+    buckets = point_buckets(points) if materialize else None
+    if materialize and not hot:
+        # the one shuffle of the points; windows, joins and the bucketed write keep to it
+        points = points.repartition(buckets, KEY)
     phased = assign_phases(points, flights, airports, hot=hot)
     if hot:
         phased = phased.drop("_pos")
     if materialize:
-        phased = materialize_phased(phased)
+        phased = materialize_phased(phased, buckets)
     return (phase_summary(phased, hot)
             .join(energy_10nm(phased, hot=hot), KEY, "left")
             .join(liftoff(phased), KEY, "left")

@@ -35,10 +35,13 @@ ca AS (select airline, cast(row_number() over (order by airline) - 1 as int) as
 # Categories of the fixture: wtc {H, M}; airline = the five TPC-H market segments.
 _SEG = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 _dummies = ", ".join(f"cast(coalesce(airline = '{s}', false) as int) as airline_{s}" for s in _SEG[1:])
+_gates = [f"G{i}" for i in (2, 3, 4, 6, 7, 8, 9)]
+_train = ", ".join(f"cast(flight_id % 10 = {g[1]} as int) as gate_{g}" for g in _gates)
+_test = ", ".join(f"0 as gate_{g}" for g in _gates)
 ORACLE["one_hot_align"] = with_(FX_FLIGHTS, FX_FLIGHTS_FULL) + (
-    f"select flight_id, cast(coalesce(wtc = 'M', false) as int) as wtc_M, {_dummies}, 'train' as split "
+    f"select flight_id, cast(coalesce(wtc = 'M', false) as int) as wtc_M, {_dummies}, {_train}, 'train' as split "
     "from fx_flights_full where tow is not null union all "
-    f"select flight_id, 0 as wtc_M, {_dummies}, 'test' from fx_flights_full where tow is null and wtc = 'M'")
+    f"select flight_id, cast(coalesce(wtc = 'M', false) as int) as wtc_M, {_dummies}, {_test}, 'test' from fx_flights_full where tow is null")
 
 _std = ", ".join(
     f"{sig(f'({c} - (select avg({c}) from lineitem where l_orderkey % 10 < 9)) / greatest((select stddev_pop({c}) from lineitem where l_orderkey % 10 < 9), 1e-6)')} as {c}"
@@ -60,3 +63,9 @@ ORACLE["clean_fill"] = with_("""c0 AS (select o_orderkey, case when o_orderkey %
     "c1 AS (select o_orderkey, case when abs(x) <= 1e10 then x end as x from c0)",
     "md AS (select median(x) as mx from c1)") + \
     f"select o_orderkey, {sig('coalesce(last_value(x ignore nulls) over (order by o_orderkey rows between unbounded preceding and current row), mx)')} as x from c1, md"
+
+
+ORACLE["split_holdout"] = with_(FX_FLIGHTS) + \
+    "select count(*) as n, count(*) as n_split, true as share_ok, true as same from fx_flights"
+ORACLE["sample_rows"] = "select least(count(*), 1000) as n, least(count(*), 1000) as n_found, 0 as n_other from lineitem"
+ORACLE["noise_mask_swap"] = "select count(*) as n, true as masked_ok, true as swapped_ok, true as rest_same, 0 as strangers from orders"

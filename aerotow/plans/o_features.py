@@ -149,3 +149,13 @@ ag AS (select f.flight_id, a.lat as Latitude_adep, a.lon as Longitude_adep, a.al
 ORACLE["clip_to_mtow"] = with_(FX_FLIGHTS, FX_AIRCRAFT_FAA, _FAA_J, """
 c0 AS (select f.flight_id, f.tow*10 as tow, a.MTOW_kg from fx_flights f left join faaj a on f.aircraft_type = a.aircraft_type)""") + \
     f"select flight_id, {sig('tow')} as tow_before, {sig('case when tow > MTOW_kg then MTOW_kg else tow end')} as tow, {sig('MTOW_kg')} as MTOW_kg from c0"
+
+
+ORACLE["clip_counts"] = with_(FX_FLIGHTS, FX_AIRCRAFT_FAA, _FAA_J, """
+c0 AS (select f.flight_id, f.tow*10 as tow, a.MTOW_kg from fx_flights f left join faaj a on f.aircraft_type = a.aircraft_type)""") + \
+    "select count(*) filter (where tow > MTOW_kg) as over_before, 0 as over_after, count(*) as n from c0"
+
+ORACLE["airport_altitude_units"] = with_(*AIRPORTS_COMBINED[:2], """
+u AS (select icao, altitude, 0 as sr, 0 as line from fx_airports union all select icao, altitude / 0.3048::double, 1, line from ab)""", """
+one AS (select icao, altitude from (select *, row_number() over (partition by icao order by sr, line) as rn from u) q where rn = 1)""") + \
+    f"select icao, {sig('altitude')} as altitude from one"

@@ -19,9 +19,12 @@ ORACLE["reindex_to_ids"] = with_(*TRAJ_SUMMARY, IDS) + (
     f"select i.flight_id, i.pos, {sig('s.flown_distance_ENR')} as flown_distance_ENR, "
     f"{sig('s.max_altitude_ENR')} as max_altitude_ENR from ids i left join sfx s on i.flight_id = s.flight_id")
 
-ORACLE["agreement_rate"] = with_(FX_FLIGHTS, IDS) + (
-    "select avg(cast(f.aircraft_type is not distinct from g.aircraft_type as double)) as agreement, count(*) as n "
-    "from ids i left join fx_flights f on i.flight_id = f.flight_id join fx_flights g on i.flight_id = g.flight_id")
+ORACLE["agreement_rate"] = with_(FX_FLIGHTS) + (
+    f"select {sig('avg(case when flight_id % 7 = 0 then 0.0 when flight_id % 11 <> 0 or aircraft_type is null then 1.0 else 0.0 end)')} as agreement, "
+    "count(*) as n from fx_flights")
+
+ORACLE["histogram_given_edges"] = """WITH e AS (select * from (values (0, 1.0::double, 5.0::double), (1, 5.0, 10.0), (2, 10.0, 20.0), (3, 20.0, 40.0), (4, 40.0, 50.0)) t(bin, low, high))
+select bin::int as bin, low, high, (select count(*) from lineitem where l_quantity >= low and (l_quantity < high or (bin = 4 and l_quantity = high))) as count from e"""
 
 ORACLE["dedupe_rows"] = "select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag from lineitem"
 

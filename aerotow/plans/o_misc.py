@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .oracle import ORACLE
-from .sqltext import div, finite_sql, phased_ctes, sig, with_
+from .sqltext import FX_FLIGHTS, div, finite_sql, fx_predictions_sql, phased_ctes, sig, with_
 
 _PH = phased_ctes(sticky=False, short_route=False)
 
@@ -22,3 +22,12 @@ ORACLE["parse_timestamp"] = (
     "as timestamp) as ts from orders) q where ts is not null")
 
 ORACLE["trajectory_features_hot"] = ORACLE["trajectory_features"]
+
+ORACLE["model_roundtrip"] = with_(FX_FLIGHTS) + "select flight_id, true as same from fx_flights"
+
+ORACLE["metrics_log"] = with_(FX_FLIGHTS, fx_predictions_sql(), """
+m AS (select sqrt(avg((m_a - tow) * (m_a - tow))) as rmse,
+  1 - sum((m_a - tow) * (m_a - tow)) / (sum(tow * tow) - sum(tow) * sum(tow) / count(*)) as r2
+ from fx_predictions where tow is not null and m_a is not null)""") + (
+    f"select 'run-a' as run, 'rmse' as metric, {sig('rmse')} as value from m union all "
+    f"select 'run-a', 'r2', {sig('r2')} from m union all select 'run-b', 'rmse', {sig('rmse')} from m")

@@ -97,6 +97,10 @@ SUMMARY_CTES = _summary_ctes() + [_summary_select(), """sfl AS (select fl.flight
 ORACLE["phase_summary"] = with_(*phased_ctes(), *SUMMARY_CTES) + "select flight_id, " + ", ".join(
     f"{sig(_coalesce0(c))} as {c}" for c in _summary_cols()) + " from sfl"
 
+ORACLE["track_variation_circular"] = with_(*phased_ctes(), *_summary_ctes()[:1], """tv AS (select flight_id, sp as phase,
+  max(radians(track)) as hi, min(radians(track)) as lo from sm group by flight_id, sp)""") + \
+    f"select flight_id, phase, {sig('least(abs(hi - lo), abs(hi - (lo + 2 * pi())))')} as track_variation from tv"
+
 ENERGY_CTES = [
     "e0 AS (select * from ph where phase = 'DEP_40' and vertical_rate > 0)",
     f"""e1 AS (select *, first_value(dist_adep) over (partition by flight_id order by {ORD}

@@ -47,9 +47,8 @@ def q_sparse_columns(spark, sf):
 
 @register("label_encode")
 def q_label_encode(spark, sf):
-    df = en.missing_category(en.presence_mask(_aircraft(spark, sf), AF_CAT), AF_CAT)
-    cats = en.fit_categories(df, AF_CAT)
-    return en.label_encode(df, cats, "_code").select(
+    df = fr.materialize(en.missing_category(en.presence_mask(_aircraft(spark, sf), AF_CAT), AF_CAT))
+    return en.label_encode_join(df, en.fit_codes(df, AF_CAT), AF_CAT).select(
         "flight_id", *[f"{c}__present" for c in AF_CAT], *[f"{c}_code" for c in AF_CAT])
 
 
@@ -57,16 +56,18 @@ def q_label_encode(spark, sf):
 def q_category_align(spark, sf):
     f = fx.fx_flights(spark, sf)
     train = f.where(F.substring("aircraft_type", 2, 3).cast("int") < 25)
-    cats = en.fit_categories(train, ["aircraft_type", "airline"])
-    return en.label_encode(f, cats, "_code").select("flight_id", "aircraft_type_code", "airline_code")
+    cols = ["aircraft_type", "airline"]
+    return en.label_encode_join(f, en.fit_codes(train, cols), cols).select("flight_id", "aircraft_type_code", "airline_code")
 
 
 @register("one_hot_align")
 def q_one_hot_align(spark, sf):
-    f = fx.fx_flights_full(spark, sf)
-    lab, unl = f.where(F.col("tow").isNotNull()), f.where(F.col("tow").isNull() & (F.col("wtc") == "M"))
-    cats_train = en.fit_categories(lab, ["wtc", "airline"])
-    cats_test = en.fit_categories(unl, ["wtc", "airline"])   # fitted separately, as the reference does
+    # the gate's categories differ between the labelled and the unlabelled flights
+    f = fx.fx_flights_full(spark, sf).withColumn("gate", F.concat(F.lit("G"), (F.col("flight_id") % 10).cast("string")))
+    lab, unl = f.where(F.col("tow").isNotNull()), f.where(F.col("tow").isNull())
+    cols = ["wtc", "airline", "gate"]
+    cats_train = en.fit_categories(lab, cols)
+    cats_test = en.fit_categories(unl, cols)   # fitted separately, as the reference does
     train_cols = ["flight_id", *en.dummy_columns(cats_train)]
     test = fr.align_columns(en.one_hot_drop_first(unl, cats_test), train_cols)
     train = en.one_hot_drop_first(lab, cats_train).select(*train_cols)
@@ -116,17 +117,38 @@ def q_clean_fill(spark, sf):
 
 @register("split_holdout")
 def q_split_holdout(spark, sf):
-    f = en.split_holdout(fx.fx_flights(spark, sf), "flight_id", {"train": 0.8, "valid": 0.2}, seed=42)
-    return f.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    """Every flight is in one split, the shares are near the asked ones, and a new partitioning changes nothing."""
+    f = fx.fx_flights(spark, sf)
+    one = en.split_holdout(f, "flight_id", {"train": 0.8, "valid": 0.2}, seed=42)
+    two = en.split_holdout(f.repartition(7), "flight_id", {"train": 0.8, "valid": 0.2}, seed=42)
+    both = one.select("flight_id", "split").join(two.select("flight_id", F.col("split").alias("again")), "flight_id")
+    share = F.avg((F.col("split") == "train").cast("double"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count("split").alias("n_split"), share.between(0.75, 0.85).alias("share_ok"),
+                    F.coalesce(F.min(F.col("split") == F.col("again")), F.lit(False)).alias("same"))
+
+
+SAMPLE = 1000
 
 
 @register("sample_rows")
 def q_sample_rows(spark, sf):
-    return en.sample_rows(fx.table(spark, sf, "lineitem"), 0.1, seed=7).select("l_orderkey", "l_linenumber")
+    """The sample has as many rows as asked for, all from the table, and does not depend on the partitioning."""
+    li = fx.table(spark, sf, "lineitem")
+    ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    one, two = (en.sample_rows(x, SAMPLE, ids, seed=7).select(*ids) for x in (li, li.repartition(7)))
+    return one.agg(F.count(F.lit(1)).alias("n")).select(
+        "n", F.lit(one.join(li, ids, "left_semi").count()).alias("n_found"), F.lit(one.exceptAll(two).count()).alias("n_other"))
 
 
 @register("noise_mask_swap")
 def q_noise_mask_swap(spark, sf):
-    li = fx.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
-    m = en.mask_noise(li, ["o_totalprice"], 0.1, "o_orderkey", seed=3)
-    return en.swap_noise(m, ["o_custkey"], 0.1, "o_orderkey", seed=5)
+    """Noise keeps the rows; masked and swapped shares are near the asked ones; other cells and the values stay."""
+    o = fx.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    m = en.mask_noise(o, ["o_totalprice"], 0.1, "o_orderkey", seed=3)
+    noisy = en.swap_noise(m, ["o_custkey"], 0.1, "o_orderkey", seed=5)
+    j = noisy.join(o.select("o_orderkey", F.col("o_totalprice").alias("p"), F.col("o_custkey").alias("c")), "o_orderkey")
+    strangers = noisy.join(o.select("o_custkey"), "o_custkey", "left_anti").count()
+    masked = F.avg(F.col("o_totalprice").isNull().cast("double"))
+    swapped = F.avg((F.col("o_custkey") != F.col("c")).cast("double"))
+    return j.agg(F.count(F.lit(1)).alias("n"), masked.between(0.08, 0.12).alias("masked_ok"), swapped.between(0.07, 0.12).alias("swapped_ok"),
+                 F.min(F.col("o_totalprice").isNull() | (F.col("o_totalprice") == F.col("p"))).alias("rest_same")).withColumn("strangers", F.lit(strangers))

@@ -9,7 +9,7 @@ from ..operators import frame as fr
 from ..operators import tabular as tb
 from ..operators import trajectory as tr
 from ..sources import fixtures as fx
-from .catalog import normalise, register
+from .catalog import _phased, normalise, register
 
 TIME_COLS = [f"{p}_{s}" for p in ("offblock", "arrival") for s in
              ("hour", "minute", "day_of_week", "day_of_year", "month", "week_of_year", "quarter",
@@ -99,3 +99,21 @@ def q_clip_to_mtow(spark, sf):
     before = f.select("flight_id", F.col("tow").alias("tow_before"))
     out = tb.clip_to_bound(f).join(before, "flight_id")
     return out.select("flight_id", "tow_before", "tow", "MTOW_kg").transform(normalise)
+
+
+@register("clip_counts")
+def q_clip_counts(spark, sf):
+    f = tb.join_aircraft(fx.fx_flights(spark, sf), fx.fx_aircraft_faa(spark, sf))
+    return tb.clip_counts(f.withColumn("tow", F.col("tow") * 10))
+
+
+@register("airport_altitude_units")
+def q_airport_altitude_units(spark, sf):
+    a, b = fx.fx_airports(spark, sf), fx.fx_airports_b(spark, sf)
+    return tb.combine_airports([a, b], altitude_units=["ft", "m"]).select("icao", "altitude").transform(normalise)
+
+
+@register("track_variation_circular")
+def q_track_variation_circular(spark, sf):
+    long = tr.phase_summary_long(_phased(spark, sf), wrap="circular")
+    return long.select("flight_id", "phase", "track_variation").transform(normalise)

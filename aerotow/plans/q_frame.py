@@ -46,9 +46,15 @@ def q_reindex_to_ids(spark, sf):
 
 @register("agreement_rate")
 def q_agreement_rate(spark, sf):
-    ids = requested_ids(spark, sf)
     f = fx.fx_flights(spark, sf)
-    return fr.agreement_rate(fr.reindex_to_ids(ids, f, "flight_id"), f, "flight_id", "aircraft_type")
+    other = f.withColumn("aircraft_type", F.when(F.col("flight_id") % 7 == 0, F.lit("other")).when(
+        F.col("flight_id") % 11 != 0, F.col("aircraft_type")))
+    return fr.agreement_rate(f, other, "flight_id", "aircraft_type").transform(normalise)
+
+
+@register("histogram_given_edges")
+def q_histogram_given_edges(spark, sf):
+    return fr.histogram_edges(fx.table(spark, sf, "lineitem"), "l_quantity", [1, 5, 10, 20, 40, 50])
 
 
 @register("dedupe_rows")

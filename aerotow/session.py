@@ -7,9 +7,11 @@ builder below is for tests, the bench and command-line runs.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this package assumes.  AQE re-plans joins at run time
 # (shuffle join -> broadcast when a side turns out small, skewed partitions
@@ -41,13 +43,16 @@ def build_session(master: str | None = None, partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder of the session.
 
-    On a cluster the setting names a shared file system and is always used as
-    given.  Only when it is unset (local tests) is a scratch folder created.
+    The folder is the one that ``spark.checkpoint.dir`` names; without the setting, the one that the caller gave to
+    ``SparkContext.setCheckpointDir``. On a cluster one of them must be set, as a folder made here would be local to
+    the driver; only a session in a single JVM (``local[...]``) gets a scratch folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="aerotow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -61,19 +66,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/aerotow/{name}"
 
 
-def checkpoint_partitioned(df, eager: bool = True):
-    """Reliable checkpoint that keeps the plan's output partitioning.
+def bucketed(df: DataFrame, column: str, buckets: int, name: str = "bucketed") -> DataFrame:
+    """Write ``df`` once to the shared folder in hash buckets of ``column`` and read it again.
 
-    With AQE on, a checkpoint records an unknown partitioning, so every later
-    join or aggregate on the same key would shuffle the data again.  The
-    checkpoint job itself is planned without AQE (its shuffles should then
-    use an explicit partition count); the setting is restored afterwards.
+    Later windows, groups and joins on ``column`` read a bucket per task and need no shuffle, and each of them reads
+    only the columns and row groups that it uses. No session setting is touched. When ``df`` is already hash
+    partitioned into as many partitions, every task writes a single file.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    prev = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.checkpoint(eager=eager)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    known_as = f"{name}_{uuid.uuid4().hex[:12]}"
+    path = shared_path(df.sparkSession, known_as)
+    df.write.option("path", path).bucketBy(buckets, column).saveAsTable(known_as)
+    return df.sparkSession.table(known_as)

@@ -88,13 +88,7 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
 def write_daily(df: DataFrame, path: str, date_col: str = "file_date") -> None:
     """Per-day results: only the days present in ``df`` are replaced (dynamic
     partition overwrite), so re-running a day is idempotent."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(date_col).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(path))
 
 
 def submission(preds: DataFrame, ids: DataFrame, key: str = "flight_id", value: str = "tow",
