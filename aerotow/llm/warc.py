@@ -179,14 +179,16 @@ class WarcReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Equality and membership on header columns are taken over; the others are left to Spark."""
+        def column(f: Filter) -> str | None:
+            return f.attribute[0] if len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in _HEADERS else None
+        rest = []
         for f in filters:
-            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            if column in _HEADERS and isinstance(f, EqualTo):
-                self.equal.append((column, (f.value,)))
-            elif column in _HEADERS and isinstance(f, In):
-                self.equal.append((column, tuple(f.value)))
-            elif not (column in _HEADERS and isinstance(f, IsNotNull) and any(c == column for c, _ in self.equal)):
-                yield f
+            if column(f) and isinstance(f, (EqualTo, In)):
+                self.equal.append((column(f), (f.value,) if isinstance(f, EqualTo) else tuple(f.value)))
+            else:
+                rest.append(f)
+        held = {c for c, _ in self.equal}
+        yield from (f for f in rest if not (isinstance(f, IsNotNull) and column(f) in held))  # equality implies it
 
     def partitions(self) -> list[Range]:
         files, root = _open(self.path)
