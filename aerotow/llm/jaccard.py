@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
@@ -202,58 +203,82 @@ def _links(rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
     return joined.select(F.col("a").alias("u"), F.col("b").alias("v"), "sa", "sb").mapInArrow(verify, f"u {kind}, v {kind}").distinct()
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    """Rows of count vectors, all in the smaller number of groups."""
+    if pa.compute.max(pa.compute.binary_length(column)).as_py() == 2 * GROUPS:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), GROUPS)
+    return np.stack([_folded(np.frombuffer(x, np.uint16)) for x in column.to_pylist()])
+
+
 def _search(percent: int):
-    """Task: pairs of different components in every tile of sorted (shingle, tile) rows, by leaves and points."""
-    def tile(rows: dict) -> tuple[list, list]:
-        order = np.argsort(rows["n"], kind="stable")
-        n, comp, side, doc = (rows[c][order] for c in ("n", "component", "side", "doc_id"))
-        vec = np.stack([_folded(np.frombuffer(rows["vec"][i], np.uint16)) for i in order])
-        leaves = [(i, min(i + LEAF, len(n))) for i in range(0, len(n), LEAF)]
-        upper = [vec[i:j].max(0) for i, j in leaves]
-        a_out, b_out = [], []
-        for x, (i, j) in enumerate(leaves):
+    """Task: pairs of different components in every tile (``part``) of rows that are sorted by it."""
+    def allowed(n1, n2, meet):
+        return 100 * meet >= percent * (n1 + n2 - meet)
+
+    def small(part, n, comp, rest, vec, size) -> np.ndarray:
+        """Pairs of rows of the tiles that fit in a leaf, for all tiles at once."""
+        found = []
+        for d in range(1, min(LEAF, int(size.max()))):
+            i = np.flatnonzero((part[:-d] == part[d:]) & (size[:-d] <= LEAF) & (comp[:-d] != comp[d:]) & (rest[:-d] | rest[d:])
+                               & (100 * np.minimum(n[:-d], n[d:]) >= percent * np.maximum(n[:-d], n[d:])))
+            for at in range(0, len(i), 50_000):
+                k = i[at:at + 50_000]
+                meet = np.minimum(vec[k], vec[k + d]).sum(1, dtype=np.int64)
+                k = k[allowed(n[k], n[k + d], meet)]
+                found.append(np.column_stack([k, k + d]))
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+    def large(lo, hi, n, comp, rest, vec) -> list:
+        """Pairs of rows lo .. hi of one tile, through leaves of rows of like size and their upper corners."""
+        order = lo + np.argsort(n[lo:hi], kind="stable")
+        leaves = [order[i:i + LEAF] for i in range(0, len(order), LEAF)]
+        upper = [vec[x].max(0) for x in leaves]
+        found = []
+        for x, a in enumerate(leaves):
             for y in range(x, len(leaves)):
-                p, q = leaves[y]
-                # sizes ascend: the least sizes are n[i] and n[p], and leaf y must not be too large for leaf x
-                if 100 * n[j - 1] < percent * n[p]:
+                b = leaves[y]
+                if 100 * n[a[-1]] < percent * n[b[0]]:  # sizes ascend: no later leaf is small enough
                     break
-                box = np.minimum(upper[x], upper[y]).sum()
-                if 100 * box < percent * (n[i] + n[p] - box):
+                if not allowed(n[a[0]], n[b[0]], np.minimum(upper[x], upper[y]).sum(dtype=np.int64)):
                     continue
-                meet = np.minimum(vec[i:j, None, :], vec[None, p:q, :]).sum(2)
-                ok = ((100 * meet >= percent * (n[i:j, None] + n[None, p:q] - meet)) & (comp[i:j, None] != comp[None, p:q])
-                      & ~((side[i:j, None] == side[None, p:q]) & (side[i:j, None] == "G")))
-                if x == y:
-                    ok = np.triu(ok, 1)
-                for e, f in zip(*np.nonzero(ok)):
-                    a_out.append(min(doc[i + e], doc[p + f]))
-                    b_out.append(max(doc[i + e], doc[p + f]))
-        return a_out, b_out
+                meet = np.minimum(vec[a][:, None, :], vec[b][None, :, :]).sum(2, dtype=np.int64)
+                ok = allowed(n[a][:, None], n[b][None, :], meet) & (comp[a][:, None] != comp[b][None, :]) & (rest[a][:, None] | rest[b][None, :])
+                i, j = np.nonzero(np.triu(ok, 1) if x == y else ok)
+                found.append(np.column_stack([a[i], b[j]]))
+        return found
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        part, n, comp, rest = (rows.column(c).to_numpy() for c in ("part", "n", "component", "rest"))
+        vec = _vectors(rows.column("vec").combine_chunks())
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        size = np.repeat(np.diff(cuts), np.diff(cuts))
+        found = [small(part, n, comp, rest, vec, size)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if hi - lo > LEAF:
+                found += large(lo, hi, n, comp, rest, vec)
+        at = np.concatenate(found)
+        ids = rows.column("doc_id").combine_chunks()
+        a, b = ids.take(pa.array(at[:, 0])), ids.take(pa.array(at[:, 1]))
+        return pa.RecordBatch.from_arrays([pa.compute.min_element_wise(a, b), pa.compute.max_element_wise(a, b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-
-        def flush():
-            rows = pa.Table.from_batches(held).combine_chunks()
-            cols = {c: rows.column(c).to_numpy() for c in ("n", "component", "doc_id")}
-            cols["side"] = np.array(rows.column("side").to_pylist())
-            cols["vec"] = rows.column("vec").to_pylist()
-            kind = rows.schema.field("doc_id").type
-            a, b = tile(cols)
-            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            codes = list(zip(batch.column("shingle").to_pylist(), batch.column("tile").to_pylist()))
-            at = 0
-            for i in range(1, len(codes) + 1):
-                if i == len(codes) or codes[i] != codes[at]:
-                    if codes[at] != key and held:
-                        yield flush()
-                        held = []
-                    key = codes[at]
-                    held.append(batch.slice(at, i - at))
-                    at = i
+            if not batch.num_rows:
+                continue
+            part = batch.column("part").to_numpy()
+            last = int(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))[-1])
+            same = held and held[-1].column("part")[0].as_py() == int(part[-1])
+            if same and last == 0:  # a tile goes on through the whole batch
+                held.append(batch)
+                continue
+            yield pairs(pa.Table.from_batches([*held, batch.slice(0, last)])) if held or last else pairs_of_none(batch)
+            held = [batch.slice(last)]
         if held:
-            yield flush()
+            yield pairs(pa.Table.from_batches(held))
+
+    def pairs_of_none(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(0, 0)] * 2, ["a", "b"])
     return run
 
 
@@ -274,9 +299,11 @@ def _between_components(trees: DataFrame, points: DataFrame, found: DataFrame, p
     go = F.when(F.col("side") == "G", F.transform(span(F.col("mo")), lambda j: F.concat_ws(".", F.lit("g"), F.col("own"), j))).otherwise(
         F.concat(F.transform(span(F.col("mg")), lambda i: F.concat_ws(".", F.lit("g"), i, F.col("own"))),
                  F.transform(span(F.col("mo")), lambda j: F.concat_ws(".", F.lit("o"), F.least(j, F.col("own")), F.greatest(j, F.col("own"))))))
-    dealt = (rows.withColumn("own", own).withColumn("tile", F.explode(go)).select("shingle", "tile", "doc_id", "component", "side")
+    # ``part`` names the tile; should two tiles get one name, they are searched together
+    dealt = (rows.withColumn("own", own).withColumn("tile", F.explode(go))
+             .select(F.xxhash64("shingle", "tile").alias("part"), "doc_id", "component", (F.col("side") == "O").alias("rest"))
              .join(points.select("doc_id", "n", "vec"), "doc_id"))
-    sorted_ = dealt.select("shingle", "tile", "doc_id", "component", "side", "n", "vec").repartition("shingle", "tile").sortWithinPartitions("shingle", "tile")
+    sorted_ = dealt.repartition("part").sortWithinPartitions("part")
     return sorted_.mapInArrow(_search(percent), f"a {kind}, b {kind}").distinct()
 
 
