@@ -52,10 +52,3 @@ def clean_floats(df: DataFrame) -> DataFrame:
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
-
-
-def clean_numeric(df: DataFrame, cols=None, threshold: float = 1e10) -> DataFrame:
-    """Values beyond +/-threshold (and NaN/Inf) become null."""
-    cols = cols or [f.name for f in df.schema.fields
-                    if isinstance(f.dataType, (DoubleType, FloatType))]
-    return df.withColumns({c: magnitude_mask(c, threshold) for c in cols})

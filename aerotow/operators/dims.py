@@ -1,4 +1,4 @@
-"""Dimension joins: bounded broadcast, role-prefixed airport joins, priority dedupe."""
+"""Dimension joins: bounded broadcast, priority dedupe."""
 
 from __future__ import annotations
 
@@ -18,22 +18,6 @@ def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-def prefixed(dim: DataFrame, key: str, role_key: str, cols: Sequence[str],
-             fmt: str = "{role}_{col}", role: str | None = None) -> DataFrame:
-    """Project a dimension for one role (e.g. departure airport)."""
-    role = role or role_key
-    return dim.select(F.col(key).alias(role_key),
-                      *[F.col(c).alias(fmt.format(role=role, col=c)) for c in cols])
-
-
-def join_dim(df: DataFrame, dim: DataFrame, left_key: str, dim_key: str,
-             cols: Sequence[str], fmt: str = "{col}_{role}", role: str | None = None,
-             max_rows: int = 1_000_000) -> DataFrame:
-    """Left join of a (bounded, broadcast) dimension under role-specific names."""
-    d = prefixed(dim, dim_key, left_key, cols, fmt, role or left_key)
-    return df.join(broadcast_bounded(d, max_rows), left_key, "left")
-
-
 def dedupe_key_first(df: DataFrame, key, order: Sequence[str]) -> DataFrame:
     """One row per key: the first by ``order`` (e.g. source rank, line number).
 

@@ -84,7 +84,7 @@ def distinct_values(df: DataFrame, cols: Sequence[str], name: str = "value") ->
 
 
 def set_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.exceptAll(b).distinct()
+    return a.subtract(b)
 
 
 def set_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -161,10 +161,13 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 def nunique(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """Distinct non-null values per column as (column, nunique) rows."""
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    row = df.agg(*[fn(F.col(c)).alias(f"u{i}") for i, c in enumerate(cols)])
-    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"u{i}").alias("nunique"))
-                                         for i, c in enumerate(cols)])))
+    if approx:
+        row = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"u{i}") for i, c in enumerate(cols)])
+        return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"u{i}").alias("nunique"))
+                                             for i, c in enumerate(cols)])))
+    # (column, value) pairs are made distinct before the shuffle; a null value stands for "no value" and is not counted
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in cols])))
+    return pairs.distinct().groupBy("column").agg(F.count("v").alias("nunique"))
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

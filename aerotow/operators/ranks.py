@@ -164,11 +164,3 @@ def medians(df: DataFrame, cols: Sequence[str], partitions: int | None = None) -
         return {}
     row = quantiles(df, cols, 0.5, partitions=partitions).first()
     return {c: (row[c] if row is not None else None) for c in cols}
-
-
-def quantile_edges(df: DataFrame, col: str, q: int = 5,
-                   partitions: int | None = None) -> list[float]:
-    """The q+1 quantile edges of a column (0, 1/q, ..., 1), exact."""
-    probs = {f"e{i}": (col, i / q) for i in range(q + 1)}
-    row = order_stats(df, [], {col: col}, quantiles=probs, partitions=partitions).first()
-    return [row[f"e{i}"] for i in range(q + 1)]

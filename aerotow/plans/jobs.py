@@ -104,11 +104,9 @@ def train_blend_submit(lab: DataFrame, unl: DataFrame, ids: DataFrame, numeric:
     valid_preds, test_preds, info = {}, {}, {}
     med = en.fit_medians(lab.where(F.col(label).isNotNull()), list(numeric))
     for fl in flavours:
-        early, i1 = ml.fit_gbt(lab, label, numeric, categorical, max_iter=max_iter, flavour=fl, seed=seed,
-                               refit=False, medians=med)
-        valid_preds[fl] = ml.predict(early, lab.where("is_valid"), key, categorical, f"p_{fl}", i1["medians"])
-        full, i2 = ml.fit_gbt(lab, label, numeric, categorical, max_iter=max_iter, flavour=fl, seed=seed,
-                              medians=med)
+        full, i2 = ml.fit_gbt(lab, label, numeric, categorical, max_iter=max_iter, flavour=fl, seed=seed, medians=med)
+        early = i2.pop("early_model")
+        valid_preds[fl] = ml.predict(early, lab.where("is_valid"), key, categorical, f"p_{fl}", i2["medians"])
         test_preds[fl] = ml.predict(full, unl, key, categorical, "tow", i2["medians"])
         info[fl] = i2
     v = lab.where("is_valid").select(key, label)

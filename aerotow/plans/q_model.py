@@ -83,9 +83,8 @@ def model_frame(spark, sf):
 def q_gbt_predict(spark, sf):
     f = fr.materialize(model_frame(spark, sf))
     model, info = ml.fit_gbt(f, "tow", NUMERIC, CATEGORICAL, max_iter=20, flavour="xgboost")
-    scored = ml.predict(model, f.where(F.col("tow").isNull()), categorical=CATEGORICAL,
-                        medians=info["medians"])
-    scored = scored.join(f.select("flight_id", "MTOW_kg"), "flight_id")
+    unlabelled = f.where(F.col("tow").isNull()).drop("tow")
+    scored = ml.predict(model, unlabelled, categorical=CATEGORICAL, medians=info["medians"], keep=["MTOW_kg"])
     return tb.clip_to_bound(scored).select("flight_id", "tow")
 
 

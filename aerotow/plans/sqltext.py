@@ -200,10 +200,3 @@ def days_sql(a: str, b: str) -> str:
 
 def rush_sql(h: str) -> str:
     return f"cast(({h} >= 7 and {h} <= 9) or ({h} >= 16 and {h} <= 18) as int)"
-
-
-def qcut_sql(x: str, edges_cte: str, col: str) -> str:
-    """Bin index from edges e0..e5 held in CTE ``edges_cte`` (columns <col>_e<i>)."""
-    es = [f"{edges_cte}.{col}_e{i}" for i in range(6)]
-    below = " + ".join(f"(case when {x} > {e} then 1 else 0 end)" for e in es)
-    return f"(case when {x} is not null then cast(greatest({below} - 1, 0) as int) end)"

@@ -78,25 +78,12 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("nullValue", "NA").csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
 def write_daily(df: DataFrame, path: str, date_col: str = "file_date") -> None:
     """Per-day results: only the days present in ``df`` are replaced (dynamic
     partition overwrite), so re-running a day is idempotent."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(path))
 
 
-def submission(preds: DataFrame, ids: DataFrame, key: str = "flight_id", value: str = "tow",
-               pos: str = "pos") -> DataFrame:
-    """(key, value) for exactly the requested ids, in the requested order."""
-    return ids.select(key, pos).join(preds.select(key, value), key, "left").orderBy(pos).select(key, value)
-
-
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
