@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from .scratch import written_by
 from .text import slices, words
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 SHARD_BYTES = 24 << 20
 
 
@@ -53,41 +53,46 @@ class _Block:
     """Texts gathered for one block."""
 
     def __init__(self):
-        self.data, self.hashes, self.starts, self.ends, self.counts, self.rows, self.size = [], [], [], [], [], [], 0
+        self.data, self.hashes, self.starts, self.lengths, self.counts, self.rows, self.size = [], [], [], [], [], [], 0
 
     def add(self, batch: pa.RecordBatch, kind: np.ndarray, lower: bool) -> None:
         w = words(batch.column("text"), kind, lower)
         self.data.append(w.data)
         self.hashes.append(w.hashes())
-        self.starts.append(w.starts + self.size)
-        self.ends.append(w.ends + self.size)
+        self.starts.append((w.starts + self.size).astype(np.uint32))
+        self.lengths.append((w.ends - w.starts).astype(np.uint32))
         self.counts.append(w.counts)
-        self.rows.append(batch)
+        self.rows.append(batch.drop_columns(["text"]))
         self.size += len(w.data)
 
     def coded(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Distinct words by falling frequency, their hashes, the number of every word, words per text."""
-        data, h = np.concatenate(self.data), np.concatenate(self.hashes)
-        starts, ends = np.concatenate(self.starts), np.concatenate(self.ends)
-        keys, at, code, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        length = ends - starts
+        def joined(parts: list) -> np.ndarray:
+            whole = np.concatenate(parts)
+            parts.clear()  # the slices are not needed beside the whole
+            return whole
+        keys, at, code, n = np.unique(joined(self.hashes), return_index=True, return_inverse=True, return_counts=True)
+        code = code.astype(np.int32)
+        data, starts, length = joined(self.data), joined(self.starts), joined(self.lengths)
         # equal hashes must be equal words; compared in runs of words, as positions take more room than bytes
         same = bool((length == length[at][code]).all())
-        for i in range(0, len(length) if same else 0, 1 << 17):
-            n_bytes = length[i:i + (1 << 17)]
+        for i in range(0, len(length) if same else 0, 1 << 16):
+            n_bytes = length[i:i + (1 << 16)].astype(np.int64)
             inside = np.arange(int(n_bytes.sum())) - np.repeat(np.cumsum(n_bytes) - n_bytes, n_bytes)
-            same &= bool((data[np.repeat(starts[i:i + (1 << 17)], n_bytes) + inside]
-                          == data[np.repeat(starts[at][code[i:i + (1 << 17)]], n_bytes) + inside]).all())
+            same &= bool((data[np.repeat(starts[i:i + (1 << 16)], n_bytes) + inside]
+                          == data[np.repeat(starts[at][code[i:i + (1 << 16)]], n_bytes) + inside]).all())
         raw = data.tobytes()
+        del data
         if not same:
             number: dict[bytes, int] = {}
-            code = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist())])
+            code = np.array([number.setdefault(raw[a:a + b], len(number)) for a, b in zip(starts.tolist(), length.tolist())])
+            # a word that shares its hash goes to the shard of that hash, like every other copy of it
             n, at = np.bincount(code), np.unique(code, return_index=True)[1]
-            keys = h[at]
+            keys = words(pa.array([raw[a:a + b].decode() for a, b in zip(starts[at].tolist(), length[at].tolist())]), np.ones(256, bool), lower=False).hashes()
         order = np.argsort(-n, kind="stable")
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
-        distinct = [raw[a:b] for a, b in zip(starts[at][order].tolist(), ends[at][order].tolist())]
+        distinct = [raw[a:a + b] for a, b in zip(starts[at][order].tolist(), length[at][order].tolist())]
         return distinct, keys[order], rank[code], np.concatenate(self.counts)
 
 
@@ -114,7 +119,7 @@ def build(rows: DataFrame, text_bytes: int, kind: np.ndarray, lower: bool, learn
     def flush(b: _Block) -> Iterator[pa.RecordBatch]:
         distinct, h, code, counts = b.coded()
         block = uuid.uuid4().int >> 65  # the table is written once, so any number that no other block has will do
-        table = pa.Table.from_batches(b.rows).drop_columns(["text"])
+        table = pa.Table.from_batches(b.rows)
         of = code
         if learn is not None:
             use = np.asarray(table.column(learn).to_numpy(zero_copy_only=False), bool)
