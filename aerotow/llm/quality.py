@@ -126,7 +126,8 @@ def judge(docs: DataFrame, limit: int = LINE_LIMIT, depleted: float = DEPLETED,
     lost = lost.join(copies.withColumnsRenamed({"_id": "_id2", "_hash": "_hash2"}),
                      F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")))
     share = lost.select("_id", "_hash", (F.col("gone") / F.col("all")).alias("share"))
-    m = measures(docs, id_col, text_col)
+    # written: a filter on the verdict must not be pushed into the array expressions, which would repeat them per element
+    m = written(measures(docs, id_col, text_col), "quality-measures")
     out = m.join(share, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return out.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
