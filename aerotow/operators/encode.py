@@ -287,3 +287,20 @@ def clean_fill(df: DataFrame, cols: Sequence[str], order: Sequence[str],
     masked = df.withColumns({c: magnitude_mask(c, threshold) for c in cols})
     med = fit_medians(masked, cols)
     return fill(forward_fill(masked, cols, order), med)
+
+
+def prepare_tabular(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str,
+                    split: str = "split", train: str = "train") -> tuple[DataFrame, dict]:
+    """A model-ready table, all fitted on the rows whose ``split`` is ``train``.
+
+    Presence masks, missing categories as a category of their own, codes (unseen values null), mean fill, standard
+    scaling, and the target scaled to its training range as ``<target>_scaled``. Returns the table and the fitted state.
+    """
+    is_train = F.col(split) == train
+    full = missing_category(presence_mask(df, [*numeric, *categorical]), categorical)
+    coded = label_encode_join(full, fit_codes(full.where(is_train), categorical), categorical)
+    filled, means = impute_mean_train(coded, numeric, is_train)
+    scales = fit_standardize(filled, numeric, is_train)
+    lo, hi = fit_minmax(df, target, is_train)
+    return (minmax_scale(standardize(filled, scales), target, lo, hi, f"{target}_scaled"),
+            {"means": means, "scales": scales, "target": (lo, hi)})

@@ -69,3 +69,17 @@ ORACLE["split_holdout"] = with_(FX_FLIGHTS) + \
     "select count(*) as n, count(*) as n_split, true as share_ok, true as same from fx_flights"
 ORACLE["sample_rows"] = "select least(count(*), 1000) as n, least(count(*), 1000) as n_found, 0 as n_other from lineitem"
 ORACLE["noise_mask_swap"] = "select count(*) as n, true as masked_ok, true as swapped_ok, true as rest_same, 0 as strangers from orders"
+
+_PC = ["wtc", "airline", "FAA_Weight"]
+_PN = ["MTOW_kg", "MALW_kg", "Approach_Speed_knot", "mzfw_kg"]
+ORACLE["prepare_tabular"] = with_(*AIRCRAFT, *[
+    f"k{i} AS (select v, cast(row_number() over (order by v) - 1 as int) as code from "
+    f"(select distinct coalesce(cast({c} as varchar), 'MissingValue') as v from af where flight_id % 10 < 8) q)" for i, c in enumerate(_PC)],
+    "mn AS (select " + ", ".join(f"avg({c}) as m_{c}" for c in _PN) + ", min(tow) as lo, max(tow) as hi from af where flight_id % 10 < 8)",
+    "fl AS (select flight_id, tow, " + ", ".join(f"coalesce(cast({c} as varchar), 'MissingValue') as {c}" for c in _PC)
+    + ", cast(mzfw_kg is not null as int) as present, " + ", ".join(f"coalesce({c}, m_{c}) as {c}" for c in _PN) + " from af, mn)",
+    "st AS (select " + ", ".join(f"avg({c}) as a_{c}, greatest(stddev_pop({c}), 1e-6) as s_{c}" for c in _PN)
+    + " from fl where flight_id % 10 < 8)") + \
+    "select flight_id, " + ", ".join(f"k{i}.code as {c}_code" for i, c in enumerate(_PC)) + ", present as mzfw_kg__present, " + \
+    ", ".join(f"round(({c} - a_{c}) / s_{c}, 6) + 0.0 as {c}" for c in _PN) + f", round((tow - lo) / (hi - lo), 6) + 0.0 as tow_scaled from fl" + \
+    "".join(f" left join k{i} on fl.{c} = k{i}.v" for i, c in enumerate(_PC)) + " cross join st cross join mn"

@@ -152,3 +152,16 @@ def q_noise_mask_swap(spark, sf):
     swapped = F.avg((F.col("o_custkey") != F.col("c")).cast("double"))
     return j.agg(F.count(F.lit(1)).alias("n"), masked.between(0.08, 0.12).alias("masked_ok"), swapped.between(0.07, 0.12).alias("swapped_ok"),
                  F.min(F.col("o_totalprice").isNull() | (F.col("o_totalprice") == F.col("p"))).alias("rest_same")).withColumn("strangers", F.lit(strangers))
+
+
+PREP_NUM = ["MTOW_kg", "MALW_kg", "Approach_Speed_knot", "mzfw_kg"]
+PREP_CAT = ["wtc", "airline", "FAA_Weight"]
+
+
+@register("prepare_tabular")
+def q_prepare_tabular(spark, sf):
+    f = fr.materialize(_aircraft(spark, sf).withColumn("split", F.when(F.col("flight_id") % 10 < 8, "train").otherwise("valid")))
+    out, _ = en.prepare_tabular(f, PREP_NUM, PREP_CAT, "tow")
+    # a value filled with the mean scales to a rounding error, so these doubles are compared to six places
+    near = [(F.round(c, 6) + 0.0).alias(c) for c in [*PREP_NUM, "tow_scaled"]]
+    return out.select("flight_id", *[f"{c}_code" for c in PREP_CAT], "mzfw_kg__present", *near)
