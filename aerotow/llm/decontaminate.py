@@ -109,6 +109,12 @@ def _scan(block):
 def find_contamination(docs: DataFrame, items: DataFrame, n: int = N, id_col: str = "doc_id",
                        text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, spans (hit word ranges [start, stop)), items (sorted ids)."""
+    return _found(docs, items, n, id_col, text_col, item_col, item_text).drop("text_hash")
+
+
+def _found(docs: DataFrame, items: DataFrame, n: int, id_col: str, text_col: str, item_col: str = "item_id",
+           item_text: str = "text") -> DataFrame:
+    """Rows of :func:`find_contamination` with the hash of their text."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        F.xxhash64(F.col(text_col)).alias("text_hash"))
@@ -120,7 +126,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = N, id_col: st
         block = spark.sparkContext.broadcast(_item_windows(ids, texts, n))
         parts.append(rows.mapInArrow(_scan(block), schema))
     if len(parts) == 1:
-        return parts[0].drop("text_hash")
+        return parts[0]
     every = parts[0].withColumn("_first", F.lit(1))
     for p in parts[1:]:
         every = every.unionByName(p.where(F.size("spans") > 0).withColumn("_first", F.lit(0)))
@@ -135,7 +141,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = N, id_col: st
             F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(s))))
     return (merged.withColumn("spans", joined)
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select("doc_id", "n_words", "spans", "items"))
+            .select("doc_id", "text_hash", "n_words", "spans", "items"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -148,10 +154,13 @@ def report(found: DataFrame) -> DataFrame:
 
 def remove_documents(docs: DataFrame, items: DataFrame, n: int = N, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that hold no window of the benchmark."""
-    bad = find_contamination(docs, items, n, id_col, text_col).where(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]), "left_anti")
+    """The documents, with all their columns, that hold no window of the benchmark.
+
+    A row goes by its own text: rows without an id, or of one id, stay where their text is clean.
+    """
+    bad = _found(docs, items, n, id_col, text_col).where(F.size("spans") > 0).select(
+        F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text_col)) == F.col("_bad_hash")), "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = N, id_col: str = "doc_id",

@@ -82,6 +82,19 @@ def test_decontamination_in_blocks(spark, corpus, docs, monkeypatch):
     assert several == one
 
 
+def test_decontamination_by_row(spark, monkeypatch):
+    """A contaminated row takes no clean row of the same or of no id with it."""
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.createDataFrame([(1, passage), (2, "uno due tre quattro cinque")], "item_id bigint, text string")
+    bad, clean = f"so {passage} it is", "nothing of the kind"
+    rows = [(None, bad), (None, clean), (None, None), (7, bad), (7, clean), (7, clean), (8, clean), (9, "uno due tre quattro cinque")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted([(None, clean), (None, None), (7, clean), (7, clean), (8, clean)], key=str)
+    assert sorted(map(tuple, decontaminate.remove_documents(docs, bench).collect()), key=str) == want
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)
+    assert sorted(map(tuple, decontaminate.remove_documents(docs, bench).collect()), key=str) == want
+
+
 def test_license_scan(corpus, docs, empty):
     rows, _ = corpus
     got = {r.doc_id: r for r in licenses.report(licenses.scan(docs)).collect()}
