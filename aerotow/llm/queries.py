@@ -87,7 +87,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = toxicity.remainder(by=7) == 2
-    scored = lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    scored = lm.score(table(spark, sf_dir, "documents"), ~held_out, across=True)
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

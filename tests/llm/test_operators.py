@@ -197,6 +197,35 @@ def test_lm_scoring(corpus, docs, empty):
     assert nothing.base_score == 0 and nothing.score == pytest.approx(-np.log10(256)) and nothing.n_known == 0
 
 
+def test_lm_scoring_across_words(spark, corpus, docs, empty, monkeypatch):
+    """Contexts run over the spaces: whole texts against the plain model, small blocks, word order counts."""
+    from pyspark.sql import functions as F
+    rows, _ = corpus
+    monkeypatch.setattr(lm, "CONTEXT_BYTES", 1000)
+    whole = lambda t: b"\0" * (lm.ORDER - 1) + b" " + b"".join(w.encode() + b" " for w in brute.words(t)) + b"\xff"
+    keys = lambda t: [(a[i - lm.ORDER:i], a[i]) for a in [whole(t)] for i in range(lm.ORDER, len(a))]
+    rows = [(i, t) for i, t in rows if i != 69]
+    learned = [t for i, t in rows if i is not None and i % 3 != 1]
+    model, words = brute.Ppm([], lm.ORDER), brute.Ppm(learned, lm.ORDER)
+    for t in learned:
+        for ctx, x in keys(t):
+            model.add(ctx, x, 1)
+    got = lm.score(docs.where("doc_id is null or doc_id <> 69"), F.col("doc_id") % 3 != 1, across=True).collect()
+    want = sorted((str(i), len(brute.words(t)) + 1, sum(words.words[w] > 0 for w in brute.words(t)) + 1) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known) for r in got) == want
+    texts = dict(rows)
+    for r in got:
+        t = texts[r.doc_id]
+        assert r.score == pytest.approx(sum(model.lp(*k) for k in keys(t)), rel=1e-9)
+        assert r.base_score == pytest.approx(words.base(t), rel=1e-9) and r.learned == (r.doc_id is not None and r.doc_id % 3 != 1)
+    two = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "mat the on sat cat the")], "doc_id bigint, text string")
+    a, b = (r.score for r in lm.score(two, F.col("doc_id") == 1, across=True).orderBy("doc_id").collect())
+    assert a > b + 1
+    assert lm.score(empty, F.lit(True), across=True).count() == 0
+    nothing = lm.score(docs, F.lit(False), across=True).where("doc_id = 1").first()
+    assert nothing.score == pytest.approx(-np.log10(256)) and nothing.n_known == 0
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(5)
     rows = []
