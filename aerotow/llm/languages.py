@@ -139,7 +139,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
             moved = held < top
             change[at], come_from[at] = moved, best
             held = np.where(moved, top, held)
-        v[:k] = held + scores[at]
+        held = held + scores[at]
+        v[:k] = held - held.max(1, keepdims=True)  # a sum over a long text would lose the differences to rounding
     label = np.zeros(len(scores), np.int64)
     state = v.argmax(1)
     for t in range(steps - 1, -1, -1):

@@ -333,6 +333,14 @@ def test_viterbi_against_all_paths():
         assert tuple(got[first[d]:first[d + 1]]) == best
 
 
+def test_viterbi_keeps_small_differences_in_large_sums():
+    scores = np.full((2200, 2), -30_000, np.float32)
+    scores[:2000, 0] += 1
+    scores[2000:, 1] += 0.25
+    got = languages.viterbi(scores, np.array([0, 2200]), 10.0)
+    assert got.tolist() == [0] * 2000 + [1] * 200
+
+
 def test_pipeline_against_plain_stages(spark):
     import sys
     from tokenizers import Tokenizer
