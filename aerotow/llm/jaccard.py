@@ -88,9 +88,15 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def vector(s: np.ndarray) -> np.ndarray:
-    """Group counts of a set."""
+    """Group counts of a set; four bytes each where two do not hold the largest."""
     groups = GROUPS if len(s) < LARGE else 4 * GROUPS
-    return np.minimum(np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups), 65535).astype(np.uint16)
+    n = np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups)
+    return n.astype(np.uint16 if n.max() <= 65535 else np.uint32)
+
+
+def _parsed(raw: bytes) -> np.ndarray:
+    """The vector of the bytes; only large sets have counts of four bytes."""
+    return np.frombuffer(raw, np.uint32 if len(raw) == 16 * GROUPS else np.uint16)
 
 
 def _folded(v: np.ndarray) -> np.ndarray:
@@ -100,7 +106,7 @@ def _folded(v: np.ndarray) -> np.ndarray:
 
 def overlap_bound(a: bytes, b: bytes) -> int:
     """Sum of the coordinates' minima."""
-    x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
+    x, y = _parsed(a), _parsed(b)
     if len(x) != len(y):
         x, y = _folded(x), _folded(y)
     return int(np.minimum(x, y).sum())
@@ -207,7 +213,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
     """Rows of count vectors, all in the smaller number of groups."""
     if pa.compute.max(pa.compute.binary_length(column)).as_py() == 2 * GROUPS:
         return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), GROUPS)
-    return np.stack([_folded(np.frombuffer(x, np.uint16)) for x in column.to_pylist()])
+    return np.stack([_folded(_parsed(x)) for x in column.to_pylist()])
 
 
 def _search(percent: int):

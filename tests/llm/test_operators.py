@@ -302,6 +302,15 @@ def test_bpe(corpus, docs, empty):
     assert bpe.digest(empty, path).count() == 0
 
 
+def test_overlap_bound_of_very_large_groups():
+    """The bound stays an upper bound where a group has more than 65535 shingles."""
+    s = np.arange(70_000, dtype=np.uint64) << np.uint64(15)
+    a, b = jaccard.vector(s).tobytes(), jaccard.vector(s[:66_000]).tobytes()
+    assert jaccard.overlap_bound(a, a) == 70_000 and jaccard.overlap_bound(a, b) == 66_000
+    small = jaccard.vector(s[:100]).tobytes()
+    assert jaccard.overlap_bound(a, small) == jaccard.overlap_bound(small, a) == 100 and len(small) == 2 * jaccard.GROUPS
+
+
 def test_language_spans(spark, empty):
     rng = random.Random(2)
     syllables = {"aa": ["th", "ing", "ew"], "bb": ["sch", "ung", "ei"], "cc": ["при", "вет", "ом"]}
