@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: opN_<name>(spark, sf_dir), whole tables, production parameters."""
+"""Registered queries of the operators: opN_<name>(spark, sf_dir), whole tables, production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, jaccard, languages, licenses, lm, quality, toxicity, urls, warc
+from . import bpe, decontaminate, embedding_quality, jaccard, languages, licenses, lm, merkle, quality, spelling, toxicity, urls, warc
 from .scratch import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,20 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = embedding_quality.fit(embedding_quality.learning_rows(docs, table(spark, sf_dir, "labels")))
+    return embedding_quality.score(docs, model).select("doc_id", (embedding_quality.fold() == 0).alias("held_out"), "score", "predicted")
