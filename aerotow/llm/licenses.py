@@ -7,7 +7,7 @@ start that its position implies, and votes meet by that relative position. A pla
 indexed words is a candidate, and it counts only if the template's mandatory key phrase stands there word for
 word. Templates that are phrases ask for all their words, so every place of a phrase is found.
 
-Defined cases: a null or empty text has no words: n_base 0, empty labels, score 0; repeated rows give repeated rows;
+Defined cases: a null or empty text has no words: n_words and n_base 0, empty labels, score 0; repeated rows give repeated rows;
 further columns are ignored. The vocabulary, postings and templates are fixed lists of a few hundred words.
 """
 
@@ -151,21 +151,21 @@ def _scan(ts: list[Template], weights: dict[str, float], rare: int, in_place: fl
                 if t.base or share >= in_place:
                     rows[d].append((k, start + (0 if t.base else a) - lo, share))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"),
+                batch.column("doc_id"), pa.array(w.counts, pa.int64()),
                 pa.array([[{"label": ts[k].label, "word": s, "base": ts[k].base, "share": f}
                            for k, s, f in sorted(r, key=lambda x: (x[1], x[0]))] for r in rows],
                          pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("base", pa.bool_()), ("share", pa.float64())])))],
-                ["doc_id", "places"])
+                ["doc_id", "n_words", "places"])
     return run
 
 
 def scan(docs: DataFrame, weights: dict[str, float] | None = None, ts: list[Template] | None = None,
          rare: int = RARE, in_place: float = IN_PLACE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and places: array of (label, word, base, share) for every verified template place."""
+    """doc_id, n_words and places: array of (label, word, base, share) for every verified template place."""
     ts = ts or templates()
     weights = weights if weights is not None else idf(docs, text_col, ts)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan(ts, weights, rare, in_place), f"doc_id {dict(rows.dtypes)['doc_id']}, "
+    return rows.mapInArrow(_scan(ts, weights, rare, in_place), f"doc_id {dict(rows.dtypes)['doc_id']}, n_words bigint, "
                            "places array<struct<label:string,word:bigint,base:boolean,share:double>>")
 
 
@@ -178,6 +178,6 @@ def report(found: DataFrame) -> DataFrame:
     base = F.filter("places", lambda p: p["base"])
     starts = F.transform(base, lambda p: p["word"])
     return found.select(
-        "doc_id", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"),
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"), _joined(base).alias("base_labels"), _joined(F.col("places")).alias("labels"),
         F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"))

@@ -32,6 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import blocks
+from .blocks import pack, unpack  # by name: tasks carry the functions, and workers need no copy of the package
 from .scratch import written, written_by
 from .text import SPACED, mix, slices, words
 
@@ -141,14 +142,14 @@ def _across(rows: DataFrame, text_bytes: int) -> DataFrame:
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
         block = uuid.uuid4().int >> 65
-        rec = [(block, -1, press(sink.getvalue().to_pybytes()), blocks.pack(n), press(a.tobytes()))]
+        rec = [(block, -1, press(sink.getvalue().to_pybytes()), pack(n), press(a.tobytes()))]
         shard = _shard_of(distinct, shards)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
         for s in range(shards):
             at = order[cuts[s]:cuts[s + 1]]
             if len(at):
-                rec.append((block, s, _pack_keys(distinct[at]), blocks.pack(seen[at]), None))
+                rec.append((block, s, _pack_keys(distinct[at]), pack(seen[at]), None))
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rec), kinds)], ["block", "shard", "a", "b", "data"])
 
@@ -173,7 +174,7 @@ def _across(rows: DataFrame, text_bytes: int) -> DataFrame:
 
     def gather(t: pa.Table) -> pa.Table:
         keys = np.concatenate([_unpack_keys(x) for x in t.column("a").to_pylist()])
-        seen = np.concatenate([blocks.unpack(x) for x in t.column("b").to_pylist()])
+        seen = np.concatenate([unpack(x) for x in t.column("b").to_pylist()])
         distinct, code = np.unique(keys, return_inverse=True)
         n = np.zeros(len(distinct), np.int64)
         np.add.at(n, code, seen)
@@ -196,7 +197,7 @@ def _across(rows: DataFrame, text_bytes: int) -> DataFrame:
         out = []
         for i in range(t.num_rows):
             own = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(t.column("a")[i].as_py())).read_all()
-            n = blocks.unpack(t.column("b")[i].as_py())
+            n = unpack(t.column("b")[i].as_py())
             keys = text_keys(np.frombuffer(zstandard.ZstdDecompressor().decompress(t.column("data")[i].as_py()), np.uint8), n)
             distinct = np.unique(keys)
             shard, value = _shard_of(distinct, shards), np.empty(len(distinct))

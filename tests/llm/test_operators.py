@@ -101,6 +101,7 @@ def test_license_scan(corpus, docs, empty):
     for i, t in rows:
         places = brute.phrases(t, licenses.PHRASES)
         r = got[i]
+        assert r.n_words == len(brute.words(t, brute.ALNUM))
         assert (r.n_base, r.base_labels) == (len(places), ",".join(sorted({x for _, x in places}))), i
         assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
