@@ -1,35 +1,14 @@
-"""Per-flight sequence operators (lag/lead, running sums, sticky labels).
-
-All windows share the partitioning ``flight_id`` and the total order
-``(timestamp, tiebreak)``, so a chain of them costs one shuffle of the points
-and a sort; windows on ``(flight_id, phase)`` reuse the same hash
-partitioning (only an extra sort is added).
-"""
+"""Key, order and clock of a flight's points."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 KEY = "flight_id"
 ORDER = ("timestamp", "event_id")
 
 
-def ordered(keys: Sequence[str] = (KEY,), order: Sequence[str] = ORDER) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(*order)
-
-
-def whole(keys: Sequence[str] = (KEY,)) -> WindowSpec:
-    """Whole-group frame (group constants repeated on every row)."""
-    return Window.partitionBy(*keys)
-
-
-def running(keys: Sequence[str] = (KEY,), order: Sequence[str] = ORDER) -> WindowSpec:
-    return ordered(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def epoch_micros(ts="timestamp") -> Column:
     """Microseconds since 1970 for TIMESTAMP_NTZ, independent of the session zone."""
     c = F.col(ts) if isinstance(ts, str) else ts
@@ -38,29 +17,3 @@ def epoch_micros(ts="timestamp") -> Column:
 
 def epoch_seconds(ts="timestamp") -> Column:
     return epoch_micros(ts).cast("double") / F.lit(1e6)
-
-
-def first_by_order(col: str, keys: Sequence[str] = (KEY,), order: Sequence[str] = ORDER) -> Column:
-    """Value on the first row of the group (nulls kept), as a window value."""
-    return F.min_by(F.col(col), F.struct(*order)).over(whole(keys))
-
-
-def last_by_order(col: str, keys: Sequence[str] = (KEY,), order: Sequence[str] = ORDER) -> Column:
-    return F.max_by(F.col(col), F.struct(*order)).over(whole(keys))
-
-
-def sticky_phase(df: DataFrame, pairs: Sequence[tuple[str, str]], col: str = "phase",
-                 keys: Sequence[str] = (KEY,), order: Sequence[str] = ORDER) -> DataFrame:
-    """Once a ``to`` row is followed by a ``from`` row, every later ``from``
-    row of the group becomes ``to``.  Pairs are applied in the given order,
-    each on the result of the previous one.
-    """
-    w = ordered(keys, order)
-    wr = running(keys, order)
-    for frm, to in pairs:
-        hit = F.coalesce((F.lag(col).over(w) == F.lit(to)) & (F.col(col) == F.lit(frm)), F.lit(False))
-        df = df.withColumn("_hit", hit.cast("int"))
-        seen = F.max("_hit").over(wr)
-        df = df.withColumn(col, F.when((F.col(col) == F.lit(frm)) & (seen > 0), F.lit(to))
-                           .otherwise(F.col(col))).drop("_hit")
-    return df

@@ -4,17 +4,17 @@ Input points: flight_id, event_id (tiebreak for equal timestamps), timestamp,
 latitude, longitude, altitude (ft), vertical_rate (ft/min), groundspeed (kt),
 track (deg), u/v_component_of_wind (m/s), temperature (K), specific_humidity.
 
-Plan shape: the points are hash-partitioned on ``flight_id`` once (by the
-join with the flight list or by the first window); every later window,
-aggregate and join is keyed by ``flight_id`` (or a superset) and reuses that
-partitioning, so the whole feature table costs one shuffle of the points.
+Plan shape: the points are hash-partitioned once, on ``flight_id`` and, where a
+flight is larger than a block, on its time block (see ``timeblocks``); every
+later window, aggregate and join is keyed by these (or a superset) and reuses
+that partitioning, so the whole feature table costs one shuffle of the points.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.flight import (STICKY_PAIRS, SUMMARY_MERGE, SUMMARY_PHASES,
@@ -23,10 +23,9 @@ from ..functions.flight import (STICKY_PAIRS, SUMMARY_MERGE, SUMMARY_PHASES,
 from ..functions.geo import KT_TO_MS, M_TO_NM, haversine_m, haversine_nm
 from ..functions.nulls import clean_floats, finite, safe_div
 from .dims import broadcast_bounded
-from .sequence import (KEY, ORDER, epoch_seconds, last_by_order, first_by_order, ordered,
-                       running, sticky_phase, whole)
-from ..session import bucketed
-from . import hotpath as hp
+from .sequence import KEY, ORDER, epoch_seconds
+from ..session import MAX_BUCKETS, bucketed
+from . import timeblocks as tb
 from .ranks import order_stats
 
 POINT_COLS = ["flight_id", "event_id", "timestamp", "latitude", "longitude", "altitude",
@@ -48,25 +47,17 @@ SUMMARY_MEASURES = {"average_vertical_rate": "vertical_rate", "average_airspeed"
                     "average_humidity": "specific_humidity", "average_altitude": "altitude"}
 
 
-def climb_rate(points: DataFrame, n: int = 10, hot: bool = False) -> DataFrame:
-    """Fill missing vertical_rate with the rate over the next ``n`` samples (ft/min).
-
-    ``hot``: points carry ``_pos`` and the lead is a join on position.
-    """
-    if hot:
-        d = hp.shifted(points, [KEY], ["altitude", "timestamp"], -n, prefix="_ld_")
-        dt = epoch_seconds("_ld_timestamp") - epoch_seconds("timestamp")
-        vs = safe_div(F.col("_ld_altitude") - F.col("altitude"), dt) * 60
-        return (d.withColumn("vertical_rate", F.coalesce(F.col("vertical_rate"), vs))
-                 .drop("_ld_altitude", "_ld_timestamp"))
-    w = ordered()
-    dt = epoch_seconds(F.lead("timestamp", n).over(w)) - epoch_seconds("timestamp")
-    vs = safe_div(F.lead("altitude", n).over(w) - F.col("altitude"), dt) * 60
-    return points.withColumn("vertical_rate", F.coalesce(F.col("vertical_rate"), vs))
+def climb_rate(points: DataFrame, n: int = 10) -> DataFrame:
+    """Fill missing vertical_rate with the rate over the next ``n`` samples (ft/min)."""
+    d = tb.following(tb.blocked(points), ["altitude", "timestamp"], n, prefix="_ld_")
+    dt = epoch_seconds("_ld_timestamp") - epoch_seconds("timestamp")
+    vs = safe_div(F.col("_ld_altitude") - F.col("altitude"), dt) * 60
+    return (d.withColumn("vertical_rate", F.coalesce(F.col("vertical_rate"), vs))
+             .select(*points.columns))
 
 
 def attach_airports(points: DataFrame, flights: DataFrame, airports: DataFrame,
-                    max_airports: int = 200_000, hot: bool = False) -> DataFrame:
+                    max_airports: int = 200_000) -> DataFrame:
     """Left joins: points -> flight (adep, ades) -> airport coordinates by role.
 
     The airport table is a bounded dimension and is broadcast only after its
@@ -81,38 +72,29 @@ def attach_airports(points: DataFrame, flights: DataFrame, airports: DataFrame,
                     F.col("lat").alias("ades_lat"), F.col("altitude").alias("ades_altitude"))
     p = points.join(f, "flight_id", "left").join(dep, "adep", "left").join(arr, "ades", "left")
     # Missing airport coordinates fall back to the last / first point of the flight.
-    if hot:
-        o = F.struct(*ORDER)
-        ends = points.groupBy(KEY).agg(
-            F.max_by("longitude", o).alias("_llon"), F.max_by("latitude", o).alias("_llat"),
-            F.min_by("longitude", o).alias("_flon"), F.min_by("latitude", o).alias("_flat"))
-        p = p.join(ends, KEY, "left")
-        return p.withColumns({
-            "ades_lon": F.coalesce(F.col("ades_lon"), F.col("_llon")),
-            "ades_lat": F.coalesce(F.col("ades_lat"), F.col("_llat")),
-            "adep_lon": F.coalesce(F.col("adep_lon"), F.col("_flon")),
-            "adep_lat": F.coalesce(F.col("adep_lat"), F.col("_flat")),
-        }).drop("_llon", "_llat", "_flon", "_flat")
-    return p.withColumns({
-        "ades_lon": F.coalesce(F.col("ades_lon"), last_by_order("longitude")),
-        "ades_lat": F.coalesce(F.col("ades_lat"), last_by_order("latitude")),
-        "adep_lon": F.coalesce(F.col("adep_lon"), first_by_order("longitude")),
-        "adep_lat": F.coalesce(F.col("adep_lat"), first_by_order("latitude")),
-    })
+    o = F.struct(*ORDER)
+    at = F.struct("longitude", "latitude")
+    d = tb.flight_values(tb.blocked(p), _last=F.max_by(at, o), _first=F.min_by(at, o))
+    return d.withColumns({
+        "ades_lon": F.coalesce(F.col("ades_lon"), F.col("_last.longitude")),
+        "ades_lat": F.coalesce(F.col("ades_lat"), F.col("_last.latitude")),
+        "adep_lon": F.coalesce(F.col("adep_lon"), F.col("_first.longitude")),
+        "adep_lat": F.coalesce(F.col("adep_lat"), F.col("_first.latitude")),
+    }).select(*p.columns)
 
 
 def assign_phases(points: DataFrame, flights: DataFrame, airports: DataFrame,
-                  sticky: bool = True, short_route: bool = True, hot: bool = False) -> DataFrame:
+                  sticky: bool = True, short_route: bool = True, block_points: int | None = None) -> DataFrame:
     """Points with airport distances (NM) and a flight phase per point.
 
-    ``hot=True`` computes the same columns without per-flight windows (see
-    ``hotpath``); the result then also carries the position ``_pos``.
+    Flights of more than ``block_points`` points are cut into time blocks; the result then has the columns ``blk``
+    and ``split``.
     """
-    p = clean_floats(points.select(*POINT_COLS))
-    if hot:
-        p = hp.positions(p, [KEY])
-    p = climb_rate(p, hot=hot)
-    p = attach_airports(p, flights, airports, hot=hot)
+    return _phased(tb.with_blocks(clean_floats(points.select(*POINT_COLS)), block_points), flights, airports, sticky, short_route)
+
+
+def _phased(points: DataFrame, flights: DataFrame, airports: DataFrame, sticky: bool = True, short_route: bool = True) -> DataFrame:
+    p = attach_airports(climb_rate(points), flights, airports)
     p = p.withColumns({
         "dist_adep": haversine_nm("longitude", "latitude", "adep_lon", "adep_lat"),
         "dist_ades": haversine_nm("longitude", "latitude", "ades_lon", "ades_lat"),
@@ -120,7 +102,7 @@ def assign_phases(points: DataFrame, flights: DataFrame, airports: DataFrame,
     })
     p = p.withColumn("phase", phase_initial())
     if sticky:
-        p = hp.sticky_phase(p, STICKY_PAIRS) if hot else sticky_phase(p, STICKY_PAIRS)
+        p = tb.sticky_labels(tb.blocked(p), STICKY_PAIRS).select(*p.columns)
     if short_route:
         p = p.withColumn("phase", phase_short_route(F.col("phase")))
     return p
@@ -133,24 +115,18 @@ def _physics(df: DataFrame) -> DataFrame:
                            "specific_energy": specific_energy(tas)})
 
 
-def phase_summary_long(phased: DataFrame, hot: bool = False, wrap: str = "reference") -> DataFrame:
+def phase_summary_long(phased: DataFrame, wrap: str = "reference") -> DataFrame:
     """12 features per (flight, summary phase) present in the points.
 
     ``wrap``: how the track variation closes the circle. ``reference`` adds 360 to a value in radians, as the
     reference does; ``circular`` takes the smaller arc between the extreme tracks.
     """
     merge = F.create_map(*[x for kv in SUMMARY_MERGE.items() for x in map(F.lit, kv)])
-    s = (phased.where(F.col("phase").isin(*SUMMARY_MERGE))
-               .withColumn("phase", merge[F.col("phase")]))
+    s = (tb.blocked(phased).where(F.col("phase").isin(*SUMMARY_MERGE))
+           .withColumn("phase", merge[F.col("phase")]))
     keys = [KEY, "phase"]
-    if hot:
-        s = hp.positions(s.drop("_pos"), keys)
-        s = hp.shifted(s, keys, ["longitude", "latitude", "timestamp"], 1)
-        prev_lon, prev_lat, prev_ts = F.col("_lag_longitude"), F.col("_lag_latitude"), F.col("_lag_timestamp")
-    else:
-        w = ordered(keys)
-        prev_lon, prev_lat = F.lag("longitude").over(w), F.lag("latitude").over(w)
-        prev_ts = F.lag("timestamp").over(w)
+    s = tb.previous(s, ["longitude", "latitude", "timestamp"], within=["phase"])
+    prev_lon, prev_lat, prev_ts = F.col("_lag_longitude"), F.col("_lag_latitude"), F.col("_lag_timestamp")
     s = _physics(s).withColumns({
         "step_m": haversine_m("longitude", "latitude", prev_lon, prev_lat),
         "timelag": epoch_seconds("timestamp") - epoch_seconds(prev_ts),
@@ -172,14 +148,9 @@ def phase_summary_long(phased: DataFrame, hot: bool = False, wrap: str = "refere
                                                         F.abs(F.col("_mx") - (F.col("_mn") + turn)))
                              ).drop("_mx", "_mn")
 
-    if hot:
-        stats = order_stats(s, keys, SUMMARY_MEASURES, trims={o: TRIM for o in SUMMARY_MEASURES},
-                            quantiles={"cruise_altitude": ("average_altitude", 0.99)}, method="sort")
-        return with_track(s.groupBy(*keys).agg(*plain)).join(stats, keys, "left")
-    # One pass: a rank window per measure (all on the flight partitioning, so
-    # only sorts), then one aggregate for plain sums, trimmed means and the
-    # 99th percentile together.
-    grp = Window.partitionBy(*keys)
+    # One pass: a rank window per measure (all on the partitioning of the points, so only sorts), then one aggregate
+    # for plain sums, trimmed means and the 99th percentile together.
+    grp = tb.in_block(["phase"])
     ranked = s.withColumns({
         **{f"_r_{o}": F.when(F.col(m).isNotNull(),
                              F.row_number().over(grp.orderBy(F.col(m).asc_nulls_last())))
@@ -197,18 +168,27 @@ def phase_summary_long(phased: DataFrame, hot: bool = False, wrap: str = "refere
              F.max(F.when(r == F.ceil(h) + 1, F.col("altitude"))).alias("_qhi"),
              F.max(h - F.floor(h)).alias("_qd")]
     out = with_track(ranked.groupBy(*keys).agg(*aggs))
-    return out.withColumn("cruise_altitude", F.col("_qlo") + (F.col("_qhi") - F.col("_qlo")) * F.col("_qd")) \
-              .drop("_qlo", "_qhi", "_qd")
-
-
-def phase_summary(phased: DataFrame, hot: bool = False) -> DataFrame:
+    out = (out.withColumn("cruise_altitude", F.col("_qlo") + (F.col("_qhi") - F.col("_qlo")) * F.col("_qd"))
+              .drop("_qlo", "_qhi", "_qd"))
+    if tb.BLK not in phased.columns:
+        return out
+    # ranks of split flights go over all their blocks
+    names = [*SUMMARY_MEASURES, "cruise_altitude"]
+    stats = order_stats(s.where(tb.SPLIT), keys, SUMMARY_MEASURES, trims={o: TRIM for o in SUMMARY_MEASURES},
+                        quantiles={"cruise_altitude": ("average_altitude", 0.99)}, method="sort")
+    split = s.where(tb.SPLIT).select(*keys).distinct().join(stats, keys, "left").select(*keys, F.struct(*names).alias("_split"))
+    whole = F.col("_split").isNotNull()
+    return out.join(split, keys, "left").withColumns({c: F.when(whole, F.col("_split")[c]).otherwise(F.col(c)) for c in names}).drop("_split")
+
+
+def phase_summary(phased: DataFrame) -> DataFrame:
     """One row per flight: ``<feature>_<phase>`` for the three summary phases.
 
     Every flight with points gets all phases (the reference completes the
     (flight, phase) grid): for a phase without points the two sums are 0 and
     every other feature is null.
     """
-    long = phase_summary_long(phased, hot)
+    long = phase_summary_long(phased)
     aggs = []
     for feat in SUMMARY_FEATURES:
         for ph in SUMMARY_PHASES:
@@ -225,26 +205,15 @@ def phase_summary(phased: DataFrame, hot: bool = False) -> DataFrame:
     return out.fillna(0.0, subset=[f"{f}_{p}" for f in SUM_FEATURES for p in SUMMARY_PHASES])
 
 
-def energy_10nm(phased: DataFrame, max_nm: float = 10.0, start_nm: float = 2.0,
-                hot: bool = False) -> DataFrame:
+def energy_10nm(phased: DataFrame, max_nm: float = 10.0, start_nm: float = 2.0) -> DataFrame:
     """Energy, TAS and ground speed at the last climb point within ``max_nm``
     flown from the start of the DEP_40 climb (flights starting within ``start_nm``)."""
-    c = phased.where((F.col("phase") == "DEP_40") & (F.col("vertical_rate") > 0))
-    if hot:
-        c = hp.positions(c.drop("_pos"), [KEY])
-        c = hp.group_value(c, [KEY], F.min_by("dist_adep", F.col("_pos")), "_first").where(F.col("_first") < start_nm)
-        c = hp.shifted(c, [KEY], ["longitude", "latitude"], 1)
-        step = F.coalesce(haversine_m("longitude", "latitude", "_lag_longitude", "_lag_latitude"), F.lit(0.0))
-        c = hp.prefix(c.withColumn("_step", step), [KEY], "_step", "_cum_m", "sum")
-        c = c.withColumn("_cum", F.col("_cum_m") * F.lit(M_TO_NM)).where(F.col("_cum") <= max_nm)
-    else:
-        w = ordered()
-        c = c.withColumn("_first", first_by_order("dist_adep")).where(F.col("_first") < start_nm)
-        step = F.coalesce(haversine_m("longitude", "latitude", F.lag("longitude").over(w),
-                                      F.lag("latitude").over(w)), F.lit(0.0))
-        c = (c.withColumn("_step", step)
-              .withColumn("_cum", F.sum("_step").over(running()) * F.lit(M_TO_NM))
-              .where(F.col("_cum") <= max_nm))
+    c = tb.blocked(phased).where((F.col("phase") == "DEP_40") & (F.col("vertical_rate") > 0))
+    c = tb.flight_values(c, _first=F.min_by("dist_adep", F.struct(*ORDER))).where(F.col("_first") < start_nm)
+    c = tb.previous(c, ["longitude", "latitude"])
+    step = F.coalesce(haversine_m("longitude", "latitude", "_lag_longitude", "_lag_latitude"), F.lit(0.0))
+    c = tb.running_sum(c.withColumn("_step", step), "_step", "_cum_m")
+    c = c.withColumn("_cum", F.col("_cum_m") * F.lit(M_TO_NM)).where(F.col("_cum") <= max_nm)
     c = _physics(c)
     o = F.struct("_cum", *ORDER)
     return c.groupBy(KEY).agg(
@@ -273,68 +242,52 @@ def liftoff(phased: DataFrame, radius_nm: float = 2.0) -> DataFrame:
 def climb_samples(phased: DataFrame, radius_nm: float = 2.0, n: int = N_SAMPLES) -> DataFrame:
     """The first ``n`` airborne points near departure, 6 measures each, wide."""
     a = _airborne_near_departure(phased, radius_nm)
-    a = a.withColumn("n", F.row_number().over(ordered())).where(F.col("n") <= n)
+    # the first n of every block, then of the flight
+    a = tb.blocked(a).withColumn("n", F.row_number().over(tb.in_order())).where(F.col("n") <= n)
+    a = tb.running_sum(a.withColumn("_one", F.lit(1)), "_one", "n").where(F.col("n") <= n)
     a = _physics(a).withColumnRenamed("airspeed", "tas").withColumn("sqrd_tas", F.pow("tas", 2))
     aggs = [F.max(F.when(F.col("n") == k, F.col(m))).alias(f"{m}_{k}")
             for m in SAMPLE_MEASURES for k in range(1, n + 1)]
     return a.groupBy(KEY).agg(*aggs)
 
 
-def _before_top(base: DataFrame, hot: bool = False) -> DataFrame:
+def _before_top(base: DataFrame) -> DataFrame:
     """Rows before the first row at the flight's highest rounded altitude."""
-    b = (base.withColumn("alt2", F.bround("altitude", -2))
-             .withColumn("time", epoch_seconds("timestamp")))
-    if hot:
-        b = hp.positions(b.drop("_pos"), [KEY], out="rn")
-        b = hp.group_value(b, [KEY], F.max("alt2"), "altmax")
-        top = b.where(F.col("alt2") == F.col("altmax")).groupBy(KEY).agg(F.min("rn").alias("position"))
-        b = b.join(top, KEY, "left")
-    else:
-        w = ordered()
-        b = (b.withColumn("rn", F.row_number().over(w))
-              .withColumn("altmax", F.max("alt2").over(whole())))
-        b = b.withColumn("position", F.min(F.when(F.col("alt2") == F.col("altmax"), F.col("rn")))
-                         .over(whole()))
-    return b.where(F.col("rn") < F.col("position"))
-
-
-def _with_next(df: DataFrame, cols, hot: bool) -> DataFrame:
-    """Attach ``_nx_<col>``: the value on the next kept row of the flight."""
-    if hot:
-        d = hp.positions(df.drop("_pos"), [KEY])
-        return hp.shifted(d, [KEY], cols, -1, prefix="_nx_").drop("_pos")
-    w = ordered()
-    return df.withColumns({f"_nx_{c}": F.lead(c).over(w) for c in cols})
-
-
-def _level_time(df: DataFrame, vs_limit: float, hot: bool = False,
-                extra=()) -> DataFrame:
-    df = _with_next(df, ["time", *extra], hot)
+    b = (tb.blocked(base).withColumn("alt2", F.bround("altitude", -2))
+           .withColumn("time", epoch_seconds("timestamp")))
+    b = tb.flight_values(b, altmax=F.max("alt2"))
+    top = F.min(F.when(F.col("alt2") == F.col("altmax"), F.struct(*ORDER)))
+    return tb.flight_values(b, _top=top).where(F.struct(*ORDER) < F.col("_top")).drop("_top")
+
+
+def _level_time(df: DataFrame, vs_limit: float, extra=()) -> DataFrame:
+    """``leveltime``: seconds to the next kept row while level, and ``_nx_<col>``, values on that row."""
+    df = tb.following(df, ["time", *extra])
     lt = F.when(F.abs("vertical_rate") < vs_limit, F.col("_nx_time") - F.col("time")) \
           .otherwise(F.lit(0.0))
     return df.withColumn("leveltime", F.coalesce(lt, F.lit(0.0)))
 
 
 def level_flight_flag(phased: DataFrame, radius_nm: float = 200.0, vs_limit: float = 300.0,
-                      box: float = 0.99, hot: bool = False) -> DataFrame:
+                      box: float = 0.99) -> DataFrame:
     """Flights with level time inside the top box before top of climb."""
-    b = _before_top(_airborne_near_departure(phased, radius_nm), hot)
+    b = _before_top(_airborne_near_departure(phased, radius_nm))
     b = b.withColumn("altlimit2", F.col("altmax") * F.lit(box)).where(F.col("altitude") > F.col("altlimit2"))
-    b = _level_time(b, vs_limit, hot)
+    b = _level_time(b, vs_limit)
     g = b.groupBy(KEY).agg(F.sum("leveltime").alias("_t"), F.first("altlimit2").alias("altlimit2"))
     return g.where(F.col("_t") > 0).select(KEY, "altlimit2", F.lit(1).alias("box_flag"))
 
 
 def level_flight_kpi(phased: DataFrame, flags: DataFrame | None = None, radius_nm: float = 200.0,
-                     vs_limit: float = 300.0, box: float = 0.99, hot: bool = False) -> DataFrame:
+                     vs_limit: float = 300.0, box: float = 0.99) -> DataFrame:
     """Level-flight distance/time and climb distance/time below the altitude limit."""
     if flags is None:
-        flags = level_flight_flag(phased, radius_nm, vs_limit, box, hot)
+        flags = level_flight_flag(phased, radius_nm, vs_limit, box)
     base = _airborne_near_departure(phased, radius_nm).join(flags, KEY, "left")
-    b = _before_top(base, hot)
+    b = _before_top(base)
     limit = F.when(F.coalesce(F.col("box_flag"), F.lit(0)) == 1, F.col("altlimit2")).otherwise(F.col("altmax"))
     b = b.where(F.col("altitude") < limit)
-    b = _level_time(b, vs_limit, hot, extra=("longitude", "latitude"))
+    b = _level_time(b, vs_limit, extra=("longitude", "latitude"))
     nxt = haversine_m("longitude", "latitude", "_nx_longitude", "_nx_latitude")
     b = b.withColumns({
         "leveldistance": F.coalesce(F.when(F.col("leveltime") > 0, nxt).otherwise(F.lit(0.0)), F.lit(0.0)),
@@ -356,74 +309,39 @@ BUCKET_POINTS = 1_000_000
 def point_buckets(points: DataFrame) -> int:
     """Number of buckets for the points, from their count (a pass over one column)."""
     least = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-points.select(KEY).count() // BUCKET_POINTS))
+    return min(MAX_BUCKETS, max(least, -(-points.select(KEY).count() // BUCKET_POINTS)))
 
 
 def materialize_phased(phased: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Write the phased points once to the shared folder, in buckets of the flight.
+    """Write the phased points once to the shared folder, in buckets of the flight (and block).
 
-    The feature branches read them from there: without a shuffle, as every step is keyed by the flight, and with
+    The feature branches read them from there: without a shuffle, as every step is keyed by these, and with
     column pruning. The written table also cuts the lineage (executor loss re-reads, not recomputes).
     """
-    return bucketed(phased, KEY, buckets or point_buckets(phased), "phased_points")
-
-
-# A flight with more points than this goes through the window-free path.
-HOT_FLIGHT_POINTS = 2_000_000
-
-
-def _features(points: DataFrame, flights: DataFrame, airports: DataFrame, materialize: bool,
-              hot: bool) -> DataFrame:
-    buckets = point_buckets(points) if materialize else None
-    if materialize and not hot:
-        # the one shuffle of the points; windows, joins and the bucketed write keep to it
-        points = points.repartition(buckets, KEY)
-    phased = assign_phases(points, flights, airports, hot=hot)
-    if hot:
-        phased = phased.drop("_pos")
-    if materialize:
-        phased = materialize_phased(phased, buckets)
-    return (phase_summary(phased, hot)
-            .join(energy_10nm(phased, hot=hot), KEY, "left")
-            .join(liftoff(phased), KEY, "left")
-            .join(climb_samples(phased), KEY, "left")
-            .join(level_flight_kpi(phased, hot=hot), KEY, "left"))
-
-
-def hot_flights(points: DataFrame, threshold: int) -> DataFrame:
-    """Flights with more than ``threshold`` points (partial aggregation, one pass)."""
-    return (points.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
-                  .where(F.col("_n") > threshold).select(KEY))
+    return bucketed(phased, tb.block_keys(phased), buckets or point_buckets(phased), "phased_points")
 
 
 def trajectory_features(points: DataFrame, flights: DataFrame, airports: DataFrame,
-                        materialize: bool = True, hot_threshold: int | None = HOT_FLIGHT_POINTS,
-                        max_hot_broadcast: int = 5_000_000) -> DataFrame:
+                        materialize: bool = True, block_points: int | None = None) -> DataFrame:
     """One row per flight with points: 34 phase + 3 energy + 4 lift-off +
     60 sample + 4 level-flight features (105 columns after ``flight_id``).
 
-    Flights above ``hot_threshold`` points (at most N / threshold of them,
-    so their id list is small and is broadcast when within
-    ``max_hot_broadcast``) are computed without per-flight windows; the
-    others with the window plan.  ``hot_threshold=0`` sends every flight
-    through the window-free path, ``None`` none.
+    One plan for all flights: those of more than ``block_points`` points (``timeblocks.BLOCK_POINTS``) are cut into
+    time blocks, so that no task holds a flight.
     """
-    if hot_threshold is None:
-        return clean_floats(_features(points, flights, airports, materialize, hot=False))
-    hot_ids = hot_flights(points, hot_threshold)
-    n_hot = hot_ids.count()
-    if n_hot == 0:
-        return clean_floats(_features(points, flights, airports, materialize, hot=False))
-    ids = F.broadcast(hot_ids) if n_hot <= max_hot_broadcast else hot_ids
-    normal = points.join(ids, KEY, "left_anti")
-    hot = points.join(ids, KEY, "left_semi")
-    parts = [_features(hot, flights, airports, materialize, hot=True)]
-    if n_hot < points.select(KEY).distinct().limit(n_hot + 1).count():
-        parts.append(_features(normal, flights, airports, materialize, hot=False))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return clean_floats(out)
+    points = tb.with_blocks(clean_floats(points.select(*POINT_COLS)), block_points)
+    buckets = point_buckets(points) if materialize else None
+    if materialize:
+        # the one shuffle of the points; windows, joins and the bucketed write keep to it
+        points = points.repartition(buckets, *tb.block_keys(points))
+    phased = _phased(points, flights, airports)
+    if materialize:
+        phased = materialize_phased(phased, buckets)
+    return clean_floats(phase_summary(phased)
+                        .join(energy_10nm(phased), KEY, "left")
+                        .join(liftoff(phased), KEY, "left")
+                        .join(climb_samples(phased), KEY, "left")
+                        .join(level_flight_kpi(phased), KEY, "left"))
 
 
 def halo_slice(points: DataFrame, day: str, halo: int = 1, date_col: str | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.flight import STICKY_PAIRS
-from ..operators import sequence, trajectory as tr
+from ..operators import timeblocks, trajectory as tr
 from ..sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,7 +79,7 @@ def q_traj_phase_initial(spark, sf):
 
 @register("sticky_phase")
 def q_sticky_phase(spark, sf):
-    p = sequence.sticky_phase(fx.fx_phase(spark, sf), [("view", "click"), ("signup", "purchase")])
+    p = timeblocks.sticky_labels(timeblocks.blocked(fx.fx_phase(spark, sf)), [("view", "click"), ("signup", "purchase")])
     return p.select("flight_id", "event_id", "phase")
 
 
@@ -137,8 +137,8 @@ from . import q_misc  # noqa: E402,F401
 
 @register("trajectory_features_hot")
 def q_trajectory_features_hot(spark, sf):
-    """The flagship query with every flight sent through the window-free
-    (hot-flight) path; must equal ``trajectory_features``."""
+    """The flagship query with every flight cut into time blocks of about 20 points, as large flights are; must equal
+    ``trajectory_features``."""
     t = tr.trajectory_features(fx.fx_traj(spark, sf), fx.fx_flights(spark, sf), fx.fx_airports(spark, sf),
-                               hot_threshold=0)
+                               block_points=20)
     return t.transform(normalise)

@@ -66,14 +66,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/aerotow/{name}"
 
 
-def bucketed(df: DataFrame, column: str, buckets: int, name: str = "bucketed") -> DataFrame:
-    """Write ``df`` once to the shared folder in hash buckets of ``column`` and read it again.
+#: Most buckets of a table; Spark takes no more than 100,000. A larger table has larger buckets.
+MAX_BUCKETS = 50_000
 
-    Later windows, groups and joins on ``column`` read a bucket per task and need no shuffle, and each of them reads
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again; unlike a checkpoint, the planner knows its size."""
+    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, columns: str | list[str], buckets: int, name: str = "bucketed") -> DataFrame:
+    """Write ``df`` once to the shared folder in hash buckets of ``columns`` and read it again.
+
+    Later windows, groups and joins on them read a bucket per task and need no shuffle, and each of them reads
     only the columns and row groups that it uses. No session setting is touched. When ``df`` is already hash
     partitioned into as many partitions, every task writes a single file.
     """
     known_as = f"{name}_{uuid.uuid4().hex[:12]}"
     path = shared_path(df.sparkSession, known_as)
-    df.write.option("path", path).bucketBy(buckets, column).saveAsTable(known_as)
+    first, *more = [columns] if isinstance(columns, str) else columns
+    df.write.option("path", path).bucketBy(min(buckets, MAX_BUCKETS), first, *more).saveAsTable(known_as)
     return df.sparkSession.table(known_as)

@@ -21,6 +21,19 @@ def test_trajectory_points_shuffled_once(spark):
     assert not re.search(r"Window \[.*\], \[\], \[", plan)
     # airports join is a broadcast join
     assert "BroadcastHashJoin" in plan
+    # no flight exceeds a block: the carries of blocks are not in the plan
+    assert "_tail" not in plan and "_heads" not in plan and "_whole" not in plan.replace("null AS _whole", "")
+
+
+def test_points_are_dealt_once(spark):
+    """All columns of the points are shuffled once, to be written; the label changes take five narrow columns."""
+    pts = fx.fx_traj(spark, SF).checkpoint()
+    phased = tr._phased(pts.select(*tr.POINT_COLS).repartition(8, "flight_id"), fx.fx_flights(spark, SF).checkpoint(), fx.fx_airports(spark, SF).checkpoint())
+    lines = _plan(phased).splitlines()
+    dealt = [lines[i + 1] for i, x in enumerate(lines) if "REPARTITION_BY_NUM" in x]
+    assert len(dealt) == 2
+    narrow = [x for x in dealt if "Project" in x]
+    assert len(narrow) == 1 and narrow[0].count("#") == 5
 
 
 def test_ordered_ops_use_bucket_windows(spark):

@@ -15,7 +15,7 @@ from aerotow.operators import frame as fr
 from aerotow.operators import ordered as od
 from aerotow.operators import ranks
 from aerotow.operators import tabular as tb
-from aerotow.operators.sequence import sticky_phase
+from aerotow.operators.timeblocks import blocked, sticky_labels
 
 
 def test_phase_initial_boundaries(spark):
@@ -42,7 +42,7 @@ def test_sticky_phase_reverts(spark):
     seq = ["GND_DEP", "DEP_40", "GND_DEP", "DEP_40", "GND_DEP", "DEP_100"]
     df = spark.createDataFrame([(1, i, i, p) for i, p in enumerate(seq)],
                                "flight_id long, event_id long, timestamp long, phase string")
-    out = sticky_phase(df, [("GND_DEP", "DEP_40")]).orderBy("event_id").select("phase").collect()
+    out = sticky_labels(blocked(df), [("GND_DEP", "DEP_40")]).orderBy("event_id").select("phase").collect()
     assert [r[0] for r in out] == ["GND_DEP", "DEP_40", "DEP_40", "DEP_40", "DEP_40", "DEP_100"]
     # property: after the pass no DEP_40 -> GND_DEP step remains
     assert "GND_DEP" not in [r[0] for r in out][2:]
