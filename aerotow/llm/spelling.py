@@ -316,9 +316,10 @@ def near(words: DataFrame, groups: int = GROUPS) -> DataFrame:
     keyed = written(words.mapInArrow(_keys(groups), "word string, n bigint, key binary, length bigint"), "spelling-words")
     per_tile = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_LETTERS) / F.col("length"))))
     blocks = written(keyed.groupBy("key", "length").agg(F.count(F.lit(1)).alias("c")).select("key", F.ceil(F.col("c") / per_tile).cast("int").alias("tiles")), "spelling-blocks")
-    meet = blocks.select("key").mapInArrow(_meetings(groups), "key binary, home binary").join(blocks.withColumnRenamed("key", "home"), "home")
-    own = keyed.join(blocks, "key").select("word", "n", "key", F.col("key").alias("home"), F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int").alias("tile"), F.lit(0).alias("visit"))
-    visitors = keyed.drop("length").join(meet, "key").select("word", "n", "key", "home", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("visit"))
+    # the tables of blocks are small files but many rows in memory, and grow with the vocabulary: no broadcast
+    meet = blocks.select("key").mapInArrow(_meetings(groups), "key binary, home binary").join(blocks.withColumnRenamed("key", "home").hint("merge"), "home")
+    own = keyed.join(blocks.hint("merge"), "key").select("word", "n", "key", F.col("key").alias("home"), F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int").alias("tile"), F.lit(0).alias("visit"))
+    visitors = keyed.drop("length").join(meet.hint("merge"), "key").select("word", "n", "key", "home", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("visit"))
     dealt = own.unionByName(visitors).repartition("home", "tile").sortWithinPartitions("home", "tile", "visit")
     found = dealt.mapInArrow(_gram(), "word string, n_near bigint, best_n bigint, best string")
     top = F.min(F.struct((-F.col("best_n")).alias("m"), "best"))
