@@ -35,20 +35,27 @@ LOCAL = (KEY, SPLIT, BLK)
 CELL_MICROS = 60_000_000
 
 
-def with_blocks(points: DataFrame, size: int | None = None) -> DataFrame:
+def point_counts(points: DataFrame) -> tuple[int, int]:
+    """Points of all flights, and of the largest one."""
+    n = points.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("all"), F.max(F.when(F.col(KEY).isNotNull(), F.col("n"))).alias("most")).first()
+    return n["all"] or 0, n["most"] or 0
+
+
+def with_blocks(points: DataFrame, size: int | None = None, most: int | None = None) -> DataFrame:
     """``points`` with ``blk`` and ``split`` if a flight has more than ``size`` points, else as they are.
 
     Large flights are counted per minute, and whole minutes make a block, so equal timestamps share one. The table of
-    minutes is written; its join with the points is a broadcast while it is small.
+    minutes is written; its join with the points is a broadcast while it is small. ``most``: points of the largest
+    flight, where the caller knows them.
     """
     size = size or BLOCK_POINTS
+    if (point_counts(points)[1] if most is None else most) <= size:
+        return points
     cell = F.coalesce(F.floor(epoch_micros() / CELL_MICROS), F.lit(-(1 << 60)).cast("bigint"))
     large = points.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size).select(KEY)
     cells = points.select(KEY, cell.alias("_cell")).join(large, KEY, "left_semi").groupBy(KEY, "_cell").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy(KEY).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = written(cells.select(KEY, "_cell", F.floor(F.coalesce(F.sum("c").over(before), F.lit(0)) / size).cast("int").alias(BLK)), "time-blocks")
-    if cells.isEmpty():
-        return points
     return (points.withColumn("_cell", cell).join(cells, [KEY, "_cell"], "left").drop("_cell")
             .withColumns({SPLIT: F.col(BLK).isNotNull(), BLK: F.coalesce(BLK, F.lit(0))}))
 
@@ -148,24 +155,21 @@ class StickyStates:
         return new
 
     @staticmethod
-    def _entry(values, at: Column) -> Column:
-        """values[at]; the numbers (below 80) are the bytes of one literal, which the planner passes on as it is."""
-        return F.ascii(F.substring(F.lit(bytearray(v + 48 for v in values)), at + 1, F.lit(1)).cast("string")) - 48
+    def _entry(values, at: str) -> str:
+        """values[at] in SQL; the numbers (below 80) are the bytes of one literal, which the planner passes on as it is."""
+        return f"(ascii(cast(substring(X'{bytes(v + 48 for v in values).hex()}', {at} + 1, 1) AS string)) - 48)"
 
-    def code(self, label: Column) -> Column:
-        found = F.lit(self.codes - 1)
-        for i, x in enumerate(self.labels):
-            found = F.when(label == x, i).otherwise(found)
-        return found
+    def code(self, label: str) -> str:
+        return f"CASE {label} " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(self.labels)) + f" ELSE {self.codes - 1} END"
 
-    def step(self, state: Column, before: Column, label: Column) -> Column:
+    def step(self, state: str, before: str, label: str) -> str:
         names = [*self.labels, None]
-        return self._entry((self.after(s, a, b) for s in range(self.states) for a in names for b in names),
-                           (state * self.codes + before) * self.codes + label)
+        return self._entry((self.after(s, a, b) for s in range(self.states) for a in names for b in names), f"({state} * {self.codes} + {before}) * {self.codes} + {label}")
 
-    def show(self, state: Column, code: Column, label: Column) -> Column:
-        shown = self._entry((self.labels.index(self.shown(s, x)) for s in range(self.states) for x in self.labels), state * len(self.labels) + code)
-        return F.when(code == self.codes - 1, label).otherwise(F.get(F.array(*map(F.lit, self.labels)), shown))
+    def show(self, state: str, code: str, label: str) -> str:
+        shown = self._entry((self.labels.index(self.shown(s, x)) for s in range(self.states) for x in self.labels), f"{state} * {len(self.labels)} + {code}")
+        names = ", ".join(f"'{x}'" for x in self.labels)
+        return f"if({code} = {self.codes - 1}, {label}, get(array({names}), {shown}))"
 
 
 def sticky_labels(df: DataFrame, pairs: Sequence[tuple[str, str]], col: str = "phase") -> DataFrame:
@@ -178,36 +182,30 @@ def sticky_labels(df: DataFrame, pairs: Sequence[tuple[str, str]], col: str = "p
     the maps say which blocks change the state, and so the state that each block begins with.
     """
     st = StickyStates(pairs)
-    d = previous(df.withColumn("_code", st.code(F.col(col))), ["_code"], prefix="_prev")
-    d = d.withColumn("_prev_code", F.coalesce("_prev_code", F.lit(st.codes - 1)))
-    row = F.struct(*ORDER, F.col("_prev_code").alias("a"), F.col("_code").alias("b"))
-    changes = (d.where(F.col("_code") != F.col("_prev_code")).groupBy(*LOCAL)
-               .agg(F.array_sort(F.collect_list(row)).alias("_changes")))
-
-    step = lambda s, x: st.step(s, x["a"], x["b"])
-    grown = lambda acc, s, entry: F.struct(s.alias("s"), F.when(s != acc["s"], F.concat(acc["seen"], F.array(entry))).otherwise(acc["seen"]).alias("seen"))
-    # the blocks that change a split flight's state, and the state after them
-    maps = changes.where(SPLIT).select(KEY, BLK, F.transform(F.sequence(F.lit(0), F.lit(st.states - 1)), lambda s: F.aggregate("_changes", s, step)).alias("map"))
-    seen = F.array().cast("array<struct<blk:int,s:int>>")
-    turns = (maps.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(BLK, "map"))).alias("maps"))
-             .select(KEY, F.aggregate("maps", F.struct(F.lit(0).alias("s"), seen.alias("seen")), lambda acc, x: grown(
-                 acc, F.get(x["map"], acc["s"]), F.struct(x[BLK].alias("blk"), F.get(x["map"], acc["s"]).alias("s")))).alias("t"))
-             .select(KEY, F.col("t.seen").alias("_turns")).where(F.size("_turns") > 0))
+    order = ", ".join(ORDER)
+    d = previous(df.withColumn("_code", F.expr(st.code(col))), ["_code"], prefix="_prev")
+    d = d.withColumn("_prev_code", F.expr(f"coalesce(_prev_code, {st.codes - 1})"))
+    changes = (d.where("_code != _prev_code").groupBy(*LOCAL)
+               .agg(F.expr(f"array_sort(collect_list(struct({order}, _prev_code AS a, _code AS b)))").alias("_changes")))
 
-    def entry(turns_: Column) -> Column:
-        """The state that a block begins with."""
-        return F.when(turns_.isNull(), F.lit(0)).otherwise(F.aggregate(turns_, F.lit(0), lambda s, x: F.when(x["blk"] < F.col(BLK), x["s"]).otherwise(s)))
+    def grown(new: str, entry: str) -> str:
+        """A fold's next state, and the list of the places where the state grew."""
+        return f"named_struct('s', {new}, 'seen', if({new} != acc.s, concat(acc.seen, array(struct({entry}, {new} AS s))), acc.seen))"
 
+    # the blocks that change a split flight's state, and the state after them
+    maps = changes.where(SPLIT).selectExpr(KEY, BLK, f"transform(sequence(0, {st.states - 1}), t -> aggregate(_changes, t, (s, x) -> {st.step('s', 'x.a', 'x.b')})) AS map")
+    turns = (maps.groupBy(KEY).agg(F.expr(f"array_sort(collect_list(struct({BLK}, map)))").alias("maps"))
+             .selectExpr(KEY, f"aggregate(maps, named_struct('s', 0, 'seen', cast(array() AS array<struct<blk:int,s:int>>)), (acc, x) -> {grown('get(x.map, acc.s)', f'x.{BLK} AS blk')}).seen AS _turns")
+             .where("size(_turns) > 0"))
+    # the state that a block begins with
+    entry = f"if(_turns IS NULL, 0, aggregate(_turns, 0, (s, x) -> if(x.blk < {BLK}, x.s, s)))"
     kinds = dict(d.dtypes)
-    events = F.array().cast(f"array<struct<{', '.join(f'{c}:{kinds[c]}' for c in ORDER)}, s:int>>")
-    folded = (changes.join(turns, KEY, "left").withColumn("_s", entry(F.col("_turns")))
-              .select(KEY, BLK, F.aggregate("_changes", F.struct(F.col("_s").alias("s"), events.alias("seen")), lambda acc, x: grown(
-                  acc, step(acc["s"], x), F.struct(*(x[c].alias(c) for c in ORDER), step(acc["s"], x).alias("s")))).alias("_f"))
-              .select(KEY, BLK, F.col("_f.seen").alias("_events")).where(F.size("_events") > 0))
-
-    now = F.struct(*ORDER)
+    none = f"cast(array() AS array<struct<{', '.join(f'{c}:{kinds[c]}' for c in ORDER)}, s:int>>)"
+    place = ", ".join(f"x.{c} AS {c}" for c in ORDER)
+    folded = (changes.join(turns, KEY, "left").selectExpr(KEY, BLK, "_changes", f"{entry} AS _s")
+              .selectExpr(KEY, BLK, f"aggregate(_changes, named_struct('s', _s, 'seen', {none}), (acc, x) -> {grown(st.step('acc.s', 'x.a', 'x.b'), place)}).seen AS _events")
+              .where("size(_events) > 0"))
     out = d.join(folded, [KEY, BLK], "left").join(turns, KEY, "left")
-    state = F.when(F.col("_events").isNull(), entry(F.col("_turns"))).otherwise(F.aggregate(
-        "_events", entry(F.col("_turns")), lambda s, e: F.when(F.struct(*(e[c].alias(c) for c in ORDER)) <= now, e["s"]).otherwise(s)))
-    calm = F.col("_events").isNull() & F.col("_turns").isNull()
-    return out.withColumn(col, F.when(calm, F.col(col)).otherwise(st.show(state, F.col("_code"), F.col(col)))).drop("_code", "_prev_code", "_events", "_turns")
+    state = f"if(_events IS NULL, {entry}, aggregate(_events, {entry}, (s, e) -> if(struct({', '.join(f'e.{c} AS {c}' for c in ORDER)}) <= struct({order}), e.s, s)))"
+    shown = F.expr(f"if(_events IS NULL AND _turns IS NULL, {col}, {st.show(state, '_code', col)})")
+    return out.withColumn(col, shown).drop("_code", "_prev_code", "_events", "_turns")

@@ -306,10 +306,11 @@ def level_flight_kpi(phased: DataFrame, flags: DataFrame | None = None, radius_n
 BUCKET_POINTS = 1_000_000
 
 
-def point_buckets(points: DataFrame) -> int:
-    """Number of buckets for the points, from their count (a pass over one column)."""
+def point_buckets(points: DataFrame, count: int | None = None) -> int:
+    """Number of buckets for the points, from their count (a pass over one column, unless it is known)."""
     least = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_BUCKETS, max(least, -(-points.select(KEY).count() // BUCKET_POINTS)))
+    count = points.select(KEY).count() if count is None else count
+    return min(MAX_BUCKETS, max(least, -(-count // BUCKET_POINTS)))
 
 
 def materialize_phased(phased: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -329,8 +330,9 @@ def trajectory_features(points: DataFrame, flights: DataFrame, airports: DataFra
     One plan for all flights: those of more than ``block_points`` points (``timeblocks.BLOCK_POINTS``) are cut into
     time blocks, so that no task holds a flight.
     """
-    points = tb.with_blocks(clean_floats(points.select(*POINT_COLS)), block_points)
-    buckets = point_buckets(points) if materialize else None
+    count, most = tb.point_counts(points)
+    points = tb.with_blocks(clean_floats(points.select(*POINT_COLS)), block_points, most)
+    buckets = point_buckets(points, count) if materialize else None
     if materialize:
         # the one shuffle of the points; windows, joins and the bucketed write keep to it
         points = points.repartition(buckets, *tb.block_keys(points))
