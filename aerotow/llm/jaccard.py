@@ -5,8 +5,9 @@ Documents are sets of distinct ``SHINGLE``-word shingles; two are linked when th
 
 Method: a set's shingles are hashed into groups, and its group counts are a point. The overlap of two sets is at most
 the sum of their coordinates' minima, and the overlap of two boxes of points at most the sum of the minima of their
-upper corners. Points are packed by size into leaves, leaf pairs and then point pairs are kept whose bound allows the
-threshold, and surviving pairs are verified on the whole sets.
+upper corners. Points are packed by size into leaves and these into nodes up to a root; the tree is joined with itself
+from the root down, pairs of nodes and then of points are kept whose bound allows the threshold, and surviving pairs
+are verified on the whole sets.
 
 One tree over all points does not prune: sets of different texts are nearly equidistant in their counts, boxes of
 them overlap everywhere, and the join degenerates to all pairs. The points are therefore dealt into many small trees,
@@ -20,9 +21,11 @@ Steps, each a Spark job over whole tables:
 1. equal sets become one class, represented by its least id;
 2. in every tree, points are compared with the tree's least id of the same size band (a star, never all pairs), and
    verified links give first components;
-3. only trees that still hold several components are searched, and only between components. A large tree is dealt
-   into tiles of its largest component and of the rest, so that no task holds more than two tiles;
-4. verified links of both steps give the components.
+3. where a tree still holds several components, one id of each is compared with one of the largest (a star again);
+4. only trees that then hold several components are searched, each band of sizes with itself and the one below, and
+   only between components. A large tree is dealt into tiles of its largest component and of the rest, so that no task
+   holds more than two tiles;
+5. verified links of all steps give the components.
 
 Linking within a component is settled by step 2, so a group of thousands of near copies costs its size and not its
 square. No document leaves the comparison on account of a group's size.
@@ -48,14 +51,17 @@ from .text import SPACED, mix, slices, window_hashes, window_ok, words
 
 SHINGLE = 4
 PERCENT = 85
-#: Groups (coordinates) of a set's count vector; sets of ``LARGE`` shingles or more have four times as many.
-GROUPS = 64
+#: Groups (coordinates) of a set's count vector; sets of ``LARGE`` shingles or more have four times as many. Trees are
+#: searched on ``COARSE`` coordinates, each the sum of every so many groups, and their finds held against all groups.
+GROUPS = 512
+COARSE = 64
 LARGE = 2048
 #: Shingles of known frequency in the order of prefixes (8 bytes each, broadcast), and the least frequency of them.
 ORDERED = 500_000
 FREQUENT = 3
-#: Points of a leaf, and of a tile of a large tree.
+#: Points of a leaf, nodes of a node above, and points of a tile of a large tree.
 LEAF = 32
+FAN = 4
 TILE = 512
 #: Ids up to this many (8 bytes each) are broadcast to the texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -88,28 +94,29 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def vector(s: np.ndarray) -> np.ndarray:
-    """Group counts of a set; four bytes each where two do not hold the largest."""
+    """Group counts of a set, in as many bytes as the largest needs."""
     groups = GROUPS if len(s) < LARGE else 4 * GROUPS
     n = np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups)
-    return n.astype(np.uint16 if n.max() <= 65535 else np.uint32)
+    return n.astype(np.uint8 if n.max() <= 255 else np.uint16 if n.max() <= 65535 else np.uint32)
 
 
 def _parsed(raw: bytes) -> np.ndarray:
-    """The vector of the bytes; only large sets have counts of four bytes."""
-    return np.frombuffer(raw, np.uint32 if len(raw) == 16 * GROUPS else np.uint16)
+    """The vector of the bytes; small sets have no count of four bytes."""
+    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint8, 8 * GROUPS: np.uint16, 16 * GROUPS: np.uint32}
+    return np.frombuffer(raw, kinds[len(raw)])
 
 
-def _folded(v: np.ndarray) -> np.ndarray:
-    """A vector in the smaller number of groups."""
-    return v.reshape(-1, GROUPS).astype(np.int64).sum(0)
+def _folded(v: np.ndarray, groups: int) -> np.ndarray:
+    """A vector (or rows of them) in a smaller number of groups."""
+    return v.reshape(*v.shape[:-1], -1, groups).sum(-2, dtype=np.int64)
 
 
 def overlap_bound(a: bytes, b: bytes) -> int:
     """Sum of the coordinates' minima."""
     x, y = _parsed(a), _parsed(b)
     if len(x) != len(y):
-        x, y = _folded(x), _folded(y)
-    return int(np.minimum(x, y).sum())
+        x, y = _folded(x, GROUPS), _folded(y, GROUPS)
+    return int(np.minimum(x, y).sum(dtype=np.int64))
 
 
 def _describe(k: int):
@@ -209,63 +216,115 @@ def _links(rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
     return joined.select(F.col("a").alias("u"), F.col("b").alias("v"), "sa", "sb").mapInArrow(verify, f"u {kind}, v {kind}").distinct()
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    """Rows of count vectors, all in the smaller number of groups."""
-    if pa.compute.max(pa.compute.binary_length(column)).as_py() == 2 * GROUPS:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), GROUPS)
-    return np.stack([_folded(_parsed(x)) for x in column.to_pylist()])
+def _allowed(n1, n2, meet, percent: int):
+    return 100 * meet >= percent * (n1 + n2 - meet)
+
+
+class _Points:
+    """Points of some tiles, in coarse and in all groups."""
+
+    def __init__(self, n: np.ndarray, vec: pa.Array, percent: int):
+        self.n, self.percent, self.raw = n, percent, vec
+        sizes = pa.compute.binary_length(vec).to_numpy()
+        same = bool((sizes == sizes[0]).all())
+        self.fine = None
+        if same:
+            kind = _parsed(vec[0].as_py()).dtype
+            self.fine = np.frombuffer(b"".join(vec.to_pylist()), kind).reshape(len(vec), -1)
+            self.coarse = _folded(self.fine, COARSE)
+        else:
+            self.coarse = np.stack([_folded(_parsed(x), COARSE) for x in vec.to_pylist()])
+        self.coarse = self.coarse.astype(np.int32)
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs the bound over all groups allows."""
+        out = np.empty(len(i), bool)
+        for at in range(0, len(i), 8192):
+            x, y = i[at:at + 8192], j[at:at + 8192]
+            if self.fine is not None:
+                meet = np.minimum(self.fine[x], self.fine[y]).sum(1, dtype=np.int64)
+            else:
+                meet = np.array([overlap_bound(self.raw[a].as_py(), self.raw[b].as_py()) for a, b in zip(x.tolist(), y.tolist())])
+            out[at:at + 8192] = _allowed(self.n[x], self.n[y], meet, self.percent)
+        return out
+
+
+class _Tree:
+    """R-tree of points packed by size: leaves of ``LEAF`` points, nodes of ``FAN`` nodes up to a root."""
+
+    def __init__(self, order: np.ndarray, n: np.ndarray, vec: np.ndarray, percent: int):
+        self.order, self.percent, self.compared = order, percent, 0
+        first = np.arange(0, len(order), LEAF)
+        # a node's upper corner and its least and largest set
+        self.levels = [(np.maximum.reduceat(vec[order], first, 0), np.minimum.reduceat(n[order], first), np.maximum.reduceat(n[order], first))]
+        while len(self.levels[-1][1]) > 1:
+            upper, least, most = self.levels[-1]
+            first = np.arange(0, len(least), FAN)
+            self.levels.append((np.maximum.reduceat(upper, first, 0), np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)))
+
+    def leaf_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (x <= y) of leaves whose boxes allow a link, by descent from the root joined with itself."""
+        x = y = np.zeros(1, np.int64)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            upper, least, most = self.levels[depth]
+            if depth < len(self.levels) - 1:
+                k = np.arange(FAN)
+                x, y = (np.repeat(x * FAN, FAN * FAN) + np.tile(np.repeat(k, FAN), len(x)), np.repeat(y * FAN, FAN * FAN) + np.tile(np.tile(k, FAN), len(y)))
+                inside = (x <= y) & (y < len(least))
+                x, y = x[inside], y[inside]
+            self.compared += len(x)
+            ok = 100 * most[x] >= self.percent * least[y]  # sizes ascend
+            x, y = x[ok], y[ok]
+            meet = np.concatenate([np.minimum(upper[x[i:i + 4096]], upper[y[i:i + 4096]]).sum(1, dtype=np.int64) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+            ok = _allowed(least[x], least[y], meet, self.percent)
+            x, y = x[ok], y[ok]
+        return x, y
 
 
 def _search(percent: int):
     """Task: pairs of different components in every tile (``part``) of rows that are sorted by it."""
-    def allowed(n1, n2, meet):
-        return 100 * meet >= percent * (n1 + n2 - meet)
-
-    def small(part, n, comp, rest, vec, size) -> np.ndarray:
+    def small(p: _Points, part, comp, rest, own, size) -> np.ndarray:
         """Pairs of rows of the tiles that fit in a leaf, for all tiles at once."""
         found = []
         for d in range(1, min(LEAF, int(size.max()))):
-            i = np.flatnonzero((part[:-d] == part[d:]) & (size[:-d] <= LEAF) & (comp[:-d] != comp[d:]) & (rest[:-d] | rest[d:])
-                               & (100 * np.minimum(n[:-d], n[d:]) >= percent * np.maximum(n[:-d], n[d:])))
+            i = np.flatnonzero((part[:-d] == part[d:]) & (size[:-d] <= LEAF) & (comp[:-d] != comp[d:]) & (rest[:-d] | rest[d:]) & (own[:-d] | own[d:])
+                               & (100 * np.minimum(p.n[:-d], p.n[d:]) >= percent * np.maximum(p.n[:-d], p.n[d:])))
             for at in range(0, len(i), 50_000):
                 k = i[at:at + 50_000]
-                meet = np.minimum(vec[k], vec[k + d]).sum(1, dtype=np.int64)
-                k = k[allowed(n[k], n[k + d], meet)]
+                k = k[_allowed(p.n[k], p.n[k + d], np.minimum(p.coarse[k], p.coarse[k + d]).sum(1, dtype=np.int64), percent)]
                 found.append(np.column_stack([k, k + d]))
         return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
-    def large(lo, hi, n, comp, rest, vec) -> list:
-        """Pairs of rows lo .. hi of one tile, through leaves of rows of like size and their upper corners."""
-        order = lo + np.argsort(n[lo:hi], kind="stable")
-        leaves = [order[i:i + LEAF] for i in range(0, len(order), LEAF)]
-        upper = [vec[x].max(0) for x in leaves]
+    def large(p: _Points, lo, hi, comp, rest, own) -> list:
+        """Pairs of rows lo .. hi of one tile, by their tree."""
+        tree = _Tree(lo + np.argsort(p.n[lo:hi], kind="stable"), p.n, p.coarse, percent)
         found = []
-        for x, a in enumerate(leaves):
-            for y in range(x, len(leaves)):
-                b = leaves[y]
-                if 100 * n[a[-1]] < percent * n[b[0]]:  # sizes ascend: no later leaf is small enough
-                    break
-                if not allowed(n[a[0]], n[b[0]], np.minimum(upper[x], upper[y]).sum(dtype=np.int64)):
-                    continue
-                meet = np.minimum(vec[a][:, None, :], vec[b][None, :, :]).sum(2, dtype=np.int64)
-                ok = allowed(n[a][:, None], n[b][None, :], meet) & (comp[a][:, None] != comp[b][None, :]) & (rest[a][:, None] | rest[b][None, :])
-                i, j = np.nonzero(np.triu(ok, 1) if x == y else ok)
-                found.append(np.column_stack([a[i], b[j]]))
+        for x, y in zip(*(z.tolist() for z in tree.leaf_pairs())):
+            a, b = tree.order[x * LEAF:(x + 1) * LEAF], tree.order[y * LEAF:(y + 1) * LEAF]
+            may = (comp[a][:, None] != comp[b][None, :]) & (rest[a][:, None] | rest[b][None, :]) & (own[a][:, None] | own[b][None, :])
+            if not may.any():
+                continue
+            meet = np.minimum(p.coarse[a][:, None, :], p.coarse[b][None, :, :]).sum(2, dtype=np.int64)
+            ok = _allowed(p.n[a][:, None], p.n[b][None, :], meet, percent) & may
+            i, j = np.nonzero(np.triu(ok, 1) if x == y else ok)
+            found.append(np.column_stack([a[i], b[j]]))
         return found
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
-        part, n, comp, rest = (rows.column(c).to_numpy() for c in ("part", "n", "component", "rest"))
-        vec = _vectors(rows.column("vec").combine_chunks())
+        part, n, comp, rest, own = (rows.column(c).to_numpy() for c in ("part", "n", "component", "rest", "own"))
+        p = _Points(n, rows.column("vec").combine_chunks(), percent)
         cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
         size = np.repeat(np.diff(cuts), np.diff(cuts))
-        found = [small(part, n, comp, rest, vec, size)]
+        found = [small(p, part, comp, rest, own, size)]
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             if hi - lo > LEAF:
-                found += large(lo, hi, n, comp, rest, vec)
+                found += large(p, lo, hi, comp, rest, own)
         at = np.concatenate(found)
-        ids = rows.column("doc_id").combine_chunks()
-        a, b = ids.take(pa.array(at[:, 0])), ids.take(pa.array(at[:, 1]))
-        return pa.RecordBatch.from_arrays([pa.compute.min_element_wise(a, b), pa.compute.max_element_wise(a, b)], ["a", "b"])
+        at = at[p.near(at[:, 0], at[:, 1])]
+        ids = rows.column("doc_id").to_numpy()
+        least, most = np.minimum(ids[at[:, 0]], ids[at[:, 1]]), np.maximum(ids[at[:, 0]], ids[at[:, 1]])
+        once = np.unique(np.column_stack([least, most]), axis=0) if len(at) else np.zeros((0, 2), ids.dtype)
+        return pa.RecordBatch.from_arrays([pa.array(once[:, 0], rows.schema.field("doc_id").type), pa.array(once[:, 1], rows.schema.field("doc_id").type)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -278,41 +337,67 @@ def _search(percent: int):
             if same and last == 0:  # a tile goes on through the whole batch
                 held.append(batch)
                 continue
-            yield pairs(pa.Table.from_batches([*held, batch.slice(0, last)])) if held or last else pairs_of_none(batch)
+            if held or last:
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
             held = [batch.slice(last)]
         if held:
             yield pairs(pa.Table.from_batches(held))
-
-    def pairs_of_none(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(0, 0)] * 2, ["a", "b"])
     return run
 
 
-def _between_components(trees: DataFrame, points: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components in the trees that hold several."""
+def _in_components(trees: DataFrame, found: DataFrame) -> DataFrame:
+    """The trees' rows with the component of each."""
+    return written(trees.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "tree-rows")
+
+
+def _in_units(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (shingle, band, doc_id, component, own) of the units that are searched: the points of a tree in a band of
+    sizes (``own``) and in the band below. Two sizes that allow a link are in one band or in neighbours."""
+    band = F.floor(F.log("n") / (-math.log(percent / 100) * (1 + 1e-9))).cast("int")
+    step = F.explode(F.array(F.lit(0), F.lit(1)))
+    return (rows.select("shingle", band.alias("_band"), "doc_id", "component", step.alias("_step"))
+            .select("shingle", (F.col("_band") + F.col("_step")).alias("band"), "doc_id", "component", (F.col("_step") == 0).alias("own")))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """shingle, band, component, rep (one of its ids), c, and of the unit: all, most, largest, centre (the rep of the
+    largest component); only units of several components."""
+    parts = rows.groupBy("shingle", "band", "component").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"), F.max("own").alias("own"))
+    units = parts.groupBy("shingle", "band").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component", "rep")).alias("top"), F.count(F.lit(1)).alias("parts"), F.max("own").alias("own")).where("parts > 1 and own")
+    return parts.join(units, ["shingle", "band"]).select("shingle", "band", "component", "rep", "c", "all", F.col("top.c").alias("most"), F.col("top.component").alias("largest"), F.col("top.rep").alias("centre"))
+
+
+def _between_components(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of different components in the units that hold several."""
     kind = dict(points.dtypes)["doc_id"]
-    rows = trees.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = written(rows, "tree-rows")
-    counts = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counts.groupBy("shingle").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("largest"),
-                                          F.count(F.lit(1)).alias("parts")).where("parts > 1")
     tiles = lambda c: F.ceil(c / F.lit(TILE)).cast("int")
-    rows = rows.join(mixed, "shingle").withColumn("side", F.when(F.col("component") == F.col("largest"), "G").otherwise("O"))
+    units = _mixed(rows).select("shingle", "band", "all", "most", "largest").distinct()
+    rows = rows.join(units, ["shingle", "band"]).withColumn("side", F.when(F.col("component") == F.col("largest"), "G").otherwise("O"))
     rows = rows.withColumn("mg", tiles(F.col("most"))).withColumn("mo", tiles(F.col("all") - F.col("most")))
     own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("side") == "G", F.col("mg")).otherwise(F.col("mo"))).cast("int")
     span = lambda m: F.sequence(F.lit(0), m - 1)
     # a tile of the largest component meets every tile of the rest; tiles of the rest meet each other
-    go = F.when(F.col("side") == "G", F.transform(span(F.col("mo")), lambda j: F.concat_ws(".", F.lit("g"), F.col("own"), j))).otherwise(
-        F.concat(F.transform(span(F.col("mg")), lambda i: F.concat_ws(".", F.lit("g"), i, F.col("own"))),
-                 F.transform(span(F.col("mo")), lambda j: F.concat_ws(".", F.lit("o"), F.least(j, F.col("own")), F.greatest(j, F.col("own"))))))
+    go = F.when(F.col("side") == "G", F.transform(span(F.col("mo")), lambda j: F.concat_ws(".", F.lit("g"), F.col("tile_no"), j))).otherwise(
+        F.concat(F.transform(span(F.col("mg")), lambda i: F.concat_ws(".", F.lit("g"), i, F.col("tile_no"))),
+                 F.transform(span(F.col("mo")), lambda j: F.concat_ws(".", F.lit("o"), F.least(j, F.col("tile_no")), F.greatest(j, F.col("tile_no"))))))
     # ``part`` names the tile; should two tiles get one name, they are searched together
-    dealt = (rows.withColumn("own", own).withColumn("tile", F.explode(go))
-             .select(F.xxhash64("shingle", "tile").alias("part"), "doc_id", "component", (F.col("side") == "O").alias("rest"))
+    dealt = (rows.withColumn("tile_no", own).withColumn("tile", F.explode(go))
+             .select(F.xxhash64("shingle", "band", "tile").alias("part"), "doc_id", "component", (F.col("side") == "O").alias("rest"), "own")
              .join(points.select("doc_id", "n", "vec"), "doc_id"))
     sorted_ = dealt.repartition("part").sortWithinPartitions("part")
     return sorted_.mapInArrow(_search(percent), f"a {kind}, b {kind}").distinct()
 
 
+def _allowed_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose count vectors allow a link."""
+    kind = dict(points.dtypes)["doc_id"]
+    vecs = points.select("doc_id", "n", "vec")
+    return (pairs.join(vecs.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va")), "a")
+            .join(vecs.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb")), "b")
+            .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+            .mapInArrow(_bounded(percent), f"a {kind}, b {kind}"))
+
+
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least id that links reach) of every document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -337,19 +422,19 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str
     shared = entries.groupBy("shingle").agg(F.count_distinct("doc_id").alias("c")).where("c > 1").select("shingle")
     trees = written(entries.join(shared, "shingle").select("shingle", "doc_id", "n").distinct(), "trees")
 
+    # a star in every tree and band of sizes, then one between what is left apart, then the search
     band = F.floor(F.log(F.col("n")) / -math.log(percent / 100)).alias("band")
     banded = trees.select("shingle", "doc_id", "n", band)
     centre = banded.groupBy("shingle", "band").agg(F.min(F.struct("doc_id", "n")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle", "band", "m")
     star = (banded.join(centre, ["shingle", "band"]).where("m.doc_id <> doc_id").select(F.col("m.doc_id").alias("a"), F.col("doc_id").alias("b"))
             .distinct())
-    vecs = points.select("doc_id", "n", "vec")
-    bounded = (star.join(vecs.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va")), "a")
-               .join(vecs.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb")), "b")
-               .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-               .mapInArrow(_bounded(percent), f"a {kind}, b {kind}"))
-    links = written(_links(texts, written(bounded, "star-pairs"), k, percent), "star-links")
-    first = written(components(links), "first-components")
-    more = written(_between_components(trees, points, first, percent), "tree-pairs")
+    links = written(_links(texts, written(_allowed_pairs(star, points, percent), "star-pairs"), k, percent), "star-links")
+    rows = _in_units(_in_components(trees, components(links)), percent)
+    between = _mixed(rows).where("component <> largest").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    again = _links(texts, written(_allowed_pairs(between, points, percent), "again-pairs"), k, percent)
+    links = written(links.unionByName(again), "merged-links")
+    rows = _in_units(_in_components(trees, components(links)), percent)
+    more = written(_between_components(rows, points, percent), "tree-pairs")
     every = links.unionByName(_links(texts, more, k, percent)).unionByName(copies.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
     found = components(every)
     return (sets.select("doc_id", F.col("n").alias("n_shingles"))

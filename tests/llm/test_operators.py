@@ -303,13 +303,58 @@ def test_bpe(corpus, docs, empty):
     assert bpe.digest(empty, path).count() == 0
 
 
+def test_tree_prunes_subtrees():
+    """The descent compares far fewer boxes than there are pairs of leaves, and keeps every pair that the bound allows."""
+    rng = np.random.default_rng(3)
+    centres = [np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(40)]
+    sets = [np.unique(np.concatenate([c[rng.random(len(c)) > 0.02], rng.integers(0, 2**63, 4, dtype=np.uint64)])) for c in centres for _ in range(40)]
+    sets += [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in range(20, 2000, 5)]
+    n, vec = np.array([len(s) for s in sets]), np.stack([jaccard._folded(jaccard.vector(s), jaccard.COARSE) for s in sets])
+    tree = jaccard._Tree(np.argsort(n, kind="stable"), n, vec, 85)
+    leaves = -(-len(sets) // jaccard.LEAF)
+    x, y = tree.leaf_pairs()
+    assert len(tree.levels) >= 3 and tree.compared < leaves * (leaves + 1) // 2
+    kept = set(zip(x.tolist(), y.tolist()))
+    leaf = np.empty(len(sets), int)
+    leaf[tree.order] = np.arange(len(sets)) // jaccard.LEAF
+    for a in range(0, len(sets), 7):
+        meet = np.minimum(vec[a], vec).sum(1)
+        for b in np.flatnonzero(100 * meet >= 85 * (n[a] + n - meet)):
+            assert (min(leaf[a], leaf[b]), max(leaf[a], leaf[b])) in kept
+
+
+def test_near_copies_cost_their_number(spark, monkeypatch):
+    """A group of near copies that one star does not settle: all links are found, and the search emits few pairs."""
+    rng = random.Random(4)
+    base = sentence(rng, 150).split()
+    rows = []
+    for i in range(400):  # a chain of drifting copies: neighbours link, the ends do not
+        w = list(base)
+        for k in range(i // 8):
+            w[(k * 7) % len(w)] = f"drift{k}"
+        w[rng.randrange(len(w))] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    made = []
+    plain = jaccard.written
+
+    def counted(df, name, **o):
+        out = plain(df, name, **o)
+        if name == "tree-pairs":
+            made.append(out.count())
+        return out
+    monkeypatch.setattr(jaccard, "written", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == brute.components(rows)
+    assert made[0] <= 20 * len(rows)
+
+
 def test_overlap_bound_of_very_large_groups():
     """The bound stays an upper bound where a group has more than 65535 shingles."""
     s = np.arange(70_000, dtype=np.uint64) << np.uint64(15)
     a, b = jaccard.vector(s).tobytes(), jaccard.vector(s[:66_000]).tobytes()
     assert jaccard.overlap_bound(a, a) == 70_000 and jaccard.overlap_bound(a, b) == 66_000
     small = jaccard.vector(s[:100]).tobytes()
-    assert jaccard.overlap_bound(a, small) == jaccard.overlap_bound(small, a) == 100 and len(small) == 2 * jaccard.GROUPS
+    assert jaccard.overlap_bound(a, small) == jaccard.overlap_bound(small, a) == 100 and len(small) == jaccard.GROUPS  # a byte a group
 
 
 def test_language_spans(spark, empty):
