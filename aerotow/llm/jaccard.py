@@ -443,8 +443,29 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, without those of a component whose id is not its least."""
+    """One document of each group, with all its columns: those whose id is not the least of its component go.
+
+    Ids are the nodes, so rows of one id with different texts stay or go together. Of rows with the same id and the
+    same text one stays. Rows without an id are in no component: one of each text stays, and none if a row with an id
+    that stays has the text.
+    """
     found = join(docs, id_col=id_col, text_col=text_col)
     others = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other_id")).distinct(), "others")
-    few = others.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(others) if few else others, F.col(id_col) == F.col("_other_id"), "left_anti")
+    few = lambda x: F.broadcast(x) if x.count() <= BROADCAST_IDS else x
+    kept = docs.join(few(others), F.col(id_col) == F.col("_other_id"), "left_anti")
+    return _once(kept, id_col, text_col, few)
+
+
+def _once(docs: DataFrame, id_col: str, text_col: str, few) -> DataFrame:
+    """``docs`` without repeated (id, text) rows; only rows that repeat are shuffled with their texts."""
+    taken = max(len(c) for c in docs.columns) * "_"  # longer than any column's name
+    own_id, own_text = f"id{taken}", f"text{taken}"
+    text = F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("-"))
+    keys = docs.select(F.col(id_col).alias(own_id), text.alias(own_text))
+    often = few(written(keys.groupBy(own_id, own_text).agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "repeated"))
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (text == F.col(own_text))
+    repeated = docs.join(often, same, "left_semi").withColumn(own_text, text).dropDuplicates([id_col, own_text]).drop(own_text)
+    once = docs.join(often, same, "left_anti").unionByName(repeated)
+    alone = keys.where(F.col(own_id).isNull()).select(own_text).distinct()
+    named = few(written(keys.where(F.col(own_id).isNotNull()).select(own_text).join(alone, own_text, "left_semi").distinct(), "named"))
+    return once.join(named, F.col(id_col).isNull() & (text == F.col(own_text)), "left_anti")
