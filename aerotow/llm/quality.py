@@ -5,10 +5,9 @@ windows. *Across documents*: lines are normalised (A-Z lower-cased, white space
 distinct documents that hold a line are counted per host (``source``). Lines over the limit are removed, and a
 document that loses more than ``DEPLETED`` of its words is rejected.
 
-What counts as a distinct document: copies and near copies share nearly all their lines, and they must not condemn
-each other. A line's documents are therefore told apart by the smallest hash among their *other* lines: a page that
-is copied a thousand times counts once, and a line that stands in a thousand different pages counts a thousand
-times. A document of a single line has no other lines and counts as one with all its equals.
+What counts as a distinct document: exact copies of a page must not condemn it, so documents are told apart by the hash
+of their whole normalised text: a page that is copied a thousand times counts once, and a line that stands in a thousand
+different pages counts a thousand times. Near copies are different pages here; to keep one of them is operator 4's work.
 
 Shuffles carry one row per distinct line and document (hashes, no text). The counts are pre-aggregated, so a line or
 a host with a third of all rows is a few rows per task; the join back to documents is left to the skew join.
@@ -36,7 +35,8 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
+    """Without white space at the ends; in linear time, however long the white space is."""
+    return F.btrim(text, F.lit(" \t\n\v\f\r"))
 
 
 def word_list(text: Column) -> Column:
@@ -95,22 +95,18 @@ def line_hash(line: Column) -> Column:
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per line with a word: doc_id, text_hash, host, line (hash), n_words, other (smallest hash among other lines)."""
+    """One row per line with a word: doc_id, text_hash, host, line (hash), n_words, page (hash of all normalised lines)."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), normalised), lambda x: x != "")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
                        F.col(host_col).alias("host"), lines.alias("lines"))
-    rows = rows.withColumn("lines", F.transform("lines", lambda x: F.struct(
-        line_hash(x).alias("line"), F.size(F.split(x, " ")).alias("n"))))
-    rows = rows.withColumn("least", F.slice(F.sort_array(F.array_distinct(F.col("lines.line"))), 1, 2))
-    out = rows.select("doc_id", "text_hash", "host", "least", F.explode("lines").alias("x"))
-    first = F.get("least", F.lit(0))
-    return out.select("doc_id", "text_hash", "host", F.col("x.line").alias("line"), F.col("x.n").cast("bigint").alias("n_words"),
-                      F.coalesce(F.when(F.col("x.line") == first, F.get("least", F.lit(1))).otherwise(first), F.lit(0)).alias("other"))
+    rows = rows.select("doc_id", "text_hash", "host", line_hash(F.array_join("lines", "\n")).alias("page"), F.explode(F.transform("lines", lambda x: F.struct(
+        line_hash(x).alias("line"), F.size(F.split(x, " ")).alias("n")))).alias("x"))
+    return rows.select("doc_id", "text_hash", "host", "page", F.col("x.line").alias("line"), F.col("x.n").cast("bigint").alias("n_words"))
 
 
 def frequent_lines(lines: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """host, line of the lines that stand in more than ``limit`` distinct documents of their host."""
-    return (lines.groupBy("host", "line").agg(F.count_distinct("other").alias("documents"))
+    """host, line of the lines that stand in more than ``limit`` distinct documents (pages) of their host."""
+    return (lines.groupBy("host", "line").agg(F.count_distinct("page").alias("documents"))
             .where(F.col("documents") > limit).select("host", "line"))
 
 

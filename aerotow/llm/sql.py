@@ -69,13 +69,13 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_SPLIT} AS w FROM
 g AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
 rep AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
-raw AS (SELECT doc_id, source, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
-        FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)),
+raw AS (SELECT doc_id, source, line, i, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
+        FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw WHERE norm <> '' GROUP BY doc_id),
 ln AS (SELECT doc_id, source, ('0x' || md5(norm)[1:15])::BIGINT AS h, len(string_split(norm, ' ')) AS n FROM raw WHERE norm <> ''),
-le AS (SELECT doc_id, list_sort(list_distinct(list(h))) AS hs FROM ln GROUP BY doc_id),
-lo AS (SELECT ln.doc_id, source, h, n, coalesce(CASE WHEN h = hs[1] THEN hs[2] ELSE hs[1] END, 0) AS other FROM ln JOIN le USING (doc_id)),
-often AS (SELECT source, h FROM lo GROUP BY source, h HAVING count(DISTINCT other) > 10),
+pages AS (SELECT doc_id, string_agg(norm, chr(10) ORDER BY i) AS page FROM raw WHERE norm <> '' GROUP BY doc_id),
+lo AS (SELECT ln.doc_id, source, h, n, page FROM ln JOIN pages USING (doc_id)),
+often AS (SELECT source, h FROM lo GROUP BY source, h HAVING count(DISTINCT page) > 10),
 share AS (SELECT doc_id, sum(CASE WHEN o.h IS NOT NULL THEN n ELSE 0 END) / sum(n) AS gone
           FROM lo LEFT JOIN often o ON lo.source IS NOT DISTINCT FROM o.source AND lo.h = o.h GROUP BY doc_id),
 m AS (

@@ -136,17 +136,46 @@ def test_quality_measures(corpus, docs, empty):
     assert quality.judge(empty).count() == 0
 
 
+def plain_kept(rows, limit=10, depleted=0.5):
+    """{id: kept} of (id, text, host): lines of more than ``limit`` different pages of a host are removed."""
+    pages = {i: ["".join(c.lower() if c.isascii() else c for c in " ".join(brute.words(x, lower=False))) for x in (t or "").split("\n") if brute.words(x)] for i, t, _ in rows}
+    where = {}
+    for i, _, host in rows:
+        for x in pages[i]:
+            where.setdefault((host, x), set()).add("\n".join(pages[i]))
+    out = {}
+    for i, t, host in rows:
+        m, size = brute.measures(t), [len(x.split(" ")) for x in pages[i]]
+        gone = sum(n for x, n in zip(pages[i], size) if len(where[host, x]) > limit)
+        out[i] = m[0] >= 50 and 100 * m[4] <= 50 * m[0] and gone <= depleted * sum(size)
+    return out
+
+
 def test_quality_line_frequency(spark):
     rng = random.Random(3)
     common = sentence(rng, 30)
     page = [sentence(rng, 20) for _ in range(4)]
     rows = [(i, common + "\n" + sentence(rng, 25), "h") for i in range(12)]          # depleted: the shared line is over half
-    rows += [(100 + i, "\n".join([*page, sentence(rng, 3)]), "h") for i in range(40)]  # near copies of a page do not condemn it
+    rows += [(100 + i, "\n".join(page), "h") for i in range(40)]                     # copies of a page do not condemn it
+    for start, shared in ((300, 1), (400, 10), (500, 30)):                           # boilerplate of any number of lines does
+        lines = [sentence(rng, 6) for _ in range(shared)]
+        rows += [(start + i, "\n".join([*lines, sentence(rng, 55 if shared == 1 else 20)]), f"s{shared}") for i in range(60)]
     rows += [(200, common + "\n" + sentence(rng, 25), "other"), (201, sentence(rng, 80), None)]
+    rows += [(600 + i, "\n".join([*page[:3], sentence(rng, 70)]), "few") for i in range(10)]  # ten pages are not over the limit
+    rows += [(700, "\n".join(page), "h"), (701, "  " + "\n\n".join(page).upper() + " ", "h")]
     kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert kept == plain_kept(rows)
     assert not any(kept[i] for i in range(12)) and all(kept[100 + i] for i in range(40)) and kept[200] and kept[201]
+    assert all(kept[300 + i] for i in range(60)) and not any(kept[400 + i] or kept[500 + i] for i in range(60))
     left = quality.keep(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
-    assert left.columns == ["doc_id", "text", "source"] and left.count() == 42
+    assert left.columns == ["doc_id", "text", "source"] and left.count() == sum(kept.values())
+
+
+def test_quality_long_white_space(spark):
+    """A million blanks in a text take linear time."""
+    text = "word " * 60 + " " * 1_000_000 + "end\n" + " " * 1_000_000
+    r = quality.judge(spark.createDataFrame([(1, text, "s")], "doc_id bigint, text string, source string")).first()
+    assert r.n_words == 61 and r.word_chars == 243
 
 
 def test_jaccard_join(corpus, docs, empty):
@@ -303,6 +332,17 @@ def test_bpe(corpus, docs, empty):
     assert bpe.digest(empty, path).count() == 0
 
 
+def test_keep_one_by_row(spark):
+    """Repeated rows, rows of one id with different texts, rows without an id."""
+    a, b, c, d = ("alpha beta gamma delta epsilon", "one two three four five six", "uno due tre quattro cinque", "eins zwei drei vier")
+    rows = [(1, a, "x"), (1, a, "x"), (2, a, "y"), (3, b, "x"), (3, c, "x"), (None, b, "x"), (None, d, "x"), (None, d, "y"), (None, None, "x"), (None, None, "x"), (4, None, "x"), (5, "", "x"), (6, "", "x")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, _class string"))
+    assert kept.columns == ["doc_id", "text", "_class"]
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (3, b), (3, c), (None, d), (4, None), (5, ""), (6, "")], key=str)
+    assert jaccard.keep_one(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
 def test_tree_prunes_subtrees():
     """The descent compares far fewer boxes than there are pairs of leaves, and keeps every pair that the bound allows."""
     rng = np.random.default_rng(3)
