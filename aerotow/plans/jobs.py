@@ -5,8 +5,8 @@ A. ``trajectory_table``: trajectory points -> one row per flight with the
 B. ``flight_feature_frame``: flight list + trajectory features + reference
    data -> model-ready frame (calendar, durations, regions, products, bins,
    ratios, aircraft, airports, geometry, geo clusters, one-hot + alignment).
-C. ``train_blend_submit``: impute, split, boosted trees per flavour with early
-   stopping and refit, bounded least-squares blend of the flavours on the
+C. ``train_blend_submit``: impute, split, boosted trees per model with
+   patience and refit, bounded least-squares blend of the models on the
    validation rows, clip to MTOW, submission in the requested order.
 
 Fitted state (medians, edges, categories, clusters, weights) is fitted on the
@@ -20,12 +20,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from ..operators import blend as bl
 from ..operators import encode as en
 from ..operators import frame as fr
 from ..operators import ml
 from ..operators import tabular as tb
+from ..operators.presets import REFERENCE, Boosting
 from ..operators.trajectory import trajectory_features
 
 # Columns removed after feature extraction, then before encoding.
@@ -93,18 +95,27 @@ def flight_feature_frame(flights: DataFrame, traj: DataFrame, faa: DataFrame, ex
     return lab_e, unl_e
 
 
+#: Columns that are no features: keys, the label and what only marks rows.
+NO_FEATURES = ("flight_id", "callsign", "tow", "split", "is_valid")
+
+
+def model_columns(df: DataFrame) -> tuple[list[str], list[str]]:
+    """(numeric, categorical) columns that a model learns from: all numbers and all strings but ``NO_FEATURES``."""
+    kinds = {f.name: f.dataType for f in df.schema.fields if f.name not in NO_FEATURES}
+    return [c for c, t in kinds.items() if isinstance(t, NumericType)], [c for c, t in kinds.items() if isinstance(t, StringType)]
+
+
 def train_blend_submit(lab: DataFrame, unl: DataFrame, ids: DataFrame, numeric: Sequence[str],
-                       categorical: Sequence[str] = (), flavours: Sequence[str] = ("catboost", "xgboost", "lightgbm"),
-                       max_iter: int = 100, seed: int = 42, label: str = "tow", key: str = "flight_id",
+                       categorical: Sequence[str] = (), models: dict[str, Boosting] = REFERENCE, seed: int = 42, label: str = "tow", key: str = "flight_id",
                        bound: str = "MTOW_kg") -> tuple[DataFrame, dict]:
-    """Plan C: per-flavour GBT (early stop + refit), blend weights fitted on the
+    """Plan C: boosted trees per model (patience + refit), blend weights fitted on the
     validation predictions, blended and clipped submission in ``ids`` order."""
     lab = fr.materialize(en.split_holdout(lab, key, {"train": 0.8, "valid": 0.2}, seed)
                          .withColumn("is_valid", F.col("split") == "valid"))
     valid_preds, test_preds, info = {}, {}, {}
     med = en.fit_medians(lab.where(F.col(label).isNotNull()), list(numeric))
-    for fl in flavours:
-        full, i2 = ml.fit_gbt(lab, label, numeric, categorical, max_iter=max_iter, flavour=fl, seed=seed, medians=med)
+    for fl, settings in models.items():
+        full, i2 = ml.fit_gbt(lab, label, numeric, categorical, settings.with_(seed=seed), medians=med)
         early = i2.pop("early_model")
         valid_preds[fl] = ml.predict(early, lab.where("is_valid"), key, categorical, f"p_{fl}", i2["medians"])
         test_preds[fl] = ml.predict(full, unl, key, categorical, "tow", i2["medians"])
@@ -112,8 +123,8 @@ def train_blend_submit(lab: DataFrame, unl: DataFrame, ids: DataFrame, numeric:
     v = lab.where("is_valid").select(key, label)
     for fl, p in valid_preds.items():
         v = v.join(p, key)
-    weights = bl.fit_blend(v, [f"p_{fl}" for fl in flavours], label)
-    w = {fl: weights[f"p_{fl}"] for fl in flavours}
+    weights = bl.fit_blend(v, [f"p_{fl}" for fl in models], label)
+    w = {fl: weights[f"p_{fl}"] for fl in models}
     blended = bl.apply_blend(test_preds, w, key)
     if bound in unl.columns:
         blended = tb.clip_to_bound(blended.join(unl.select(key, bound), key), "tow", bound)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import frame as fr
+from ..operators.presets import QUICK
 from ..sources import fixtures as fx
 from . import jobs
 from .catalog import normalise, register
@@ -35,9 +36,5 @@ def q_flight_feature_frame(spark, sf):
 @register("train_blend_submit")
 def q_train_blend_submit(spark, sf):
     lab, unl = _frames(spark, sf)
-    # measured features (doubles); the one-hot integer columns are left out of
-    # this registered run to keep the number of tree fits' planning work small
-    numeric = [f.name for f in lab.schema.fields
-               if f.dataType.simpleString() == "double" and f.name not in ("flight_id", "tow")]
-    sub, info = jobs.train_blend_submit(lab, unl, requested_ids(spark, sf), numeric, max_iter=3)
-    return sub.withColumn("tow", F.col("tow"))
+    sub, _ = jobs.train_blend_submit(lab, unl, requested_ids(spark, sf), jobs.model_columns(lab)[0], models=QUICK)
+    return sub

@@ -10,10 +10,11 @@ from ..functions.nulls import finite, magnitude_mask, safe_div
 from ..operators import frame as fr
 from ..operators import ml
 from ..operators import trajectory as tr
+from ..operators.presets import QUICK
 from ..sources import files as io
 from ..sources import fixtures as fx
 from .catalog import normalise, register
-from .q_model import CATEGORICAL, NUMERIC, model_frame
+from .q_model import model_frame
 
 
 @register("airport_fallback")
@@ -48,13 +49,13 @@ def q_parse_timestamp(spark, sf):
 
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf):
-    f = fr.materialize(model_frame(spark, sf))
-    model, info = ml.fit_gbt(f, "tow", NUMERIC, CATEGORICAL, max_iter=5, refit=False)
+    f, numeric, categorical = model_frame(spark, sf)
+    model, info = ml.fit_gbt(f, "tow", numeric, categorical, QUICK["xgboost"], refit=False)
     path = io.scratch_path(spark, "model")
     io.save_model(model, path)
     again = io.load_model(path)
-    a = ml.predict(model, f, categorical=CATEGORICAL, out="p1", medians=info["medians"])
-    b = ml.predict(again, f, categorical=CATEGORICAL, out="p2", medians=info["medians"])
+    a = ml.predict(model, f, categorical=categorical, out="p1", medians=info["medians"])
+    b = ml.predict(again, f, categorical=categorical, out="p2", medians=info["medians"])
     return a.join(b, "flight_id").select("flight_id", (F.col("p1") == F.col("p2")).alias("same"))
 
 

@@ -9,8 +9,10 @@ from ..operators import encode as en
 from ..operators import frame as fr
 from ..operators import ml
 from ..operators import tabular as tb
+from ..operators.presets import QUICK, QUICK_STEPS, QUICK_TRIALS
 from ..sources import fixtures as fx
 from .catalog import normalise, register
+from .jobs import model_columns
 from .q_frame import requested_ids
 
 MODELS = list(fx.PREDICTION_MODELS)
@@ -67,46 +69,42 @@ def q_classification_metrics(spark, sf):
 
 # ------------------------------------------------------------------ models
 
-NUMERIC = ["flight_duration", "taxiout_time", "flown_distance", "offblock_hour", "offblock_day_of_week",
-           "offblock_to_arrival_duration", "MTOW_kg", "MALW_kg", "Num_Engines", "Approach_Speed_knot"]
-CATEGORICAL = ["wtc", "airline", "aircraft_type"]
-
-
 def model_frame(spark, sf):
+    """Flights with calendar and aircraft features, and the columns that models learn from: (frame, numeric, categorical)."""
     f = tb.time_features(fx.fx_flights_full(spark, sf))
     f = tb.join_aircraft(f, fx.fx_aircraft_faa(spark, sf))
     f = en.split_holdout(f, "flight_id", {"train": 0.8, "valid": 0.2}, seed=42)
-    return f.withColumn("is_valid", F.col("split") == "valid")
+    numeric, categorical = model_columns(f)
+    return fr.materialize(f.withColumn("is_valid", F.col("split") == "valid")), numeric, categorical
 
 
 @register("gbt_predict")
 def q_gbt_predict(spark, sf):
-    f = fr.materialize(model_frame(spark, sf))
-    model, info = ml.fit_gbt(f, "tow", NUMERIC, CATEGORICAL, max_iter=20, flavour="xgboost")
+    f, numeric, categorical = model_frame(spark, sf)
+    model, info = ml.fit_gbt(f, "tow", numeric, categorical, QUICK["xgboost"])
     unlabelled = f.where(F.col("tow").isNull()).drop("tow")
-    scored = ml.predict(model, unlabelled, categorical=CATEGORICAL, medians=info["medians"], keep=["MTOW_kg"])
+    scored = ml.predict(model, unlabelled, categorical=categorical, medians=info["medians"], keep=["MTOW_kg"])
     return tb.clip_to_bound(scored).select("flight_id", "tow")
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
-    f = fr.materialize(model_frame(spark, sf))
-    model, info = ml.fit_gbt(f, "tow", NUMERIC, CATEGORICAL, max_iter=10, refit=False)
+    f, numeric, categorical = model_frame(spark, sf)
+    model, info = ml.fit_gbt(f, "tow", numeric, categorical, QUICK["xgboost"], refit=False)
     return ml.feature_importance(spark, model, info["features"])
 
 
 @register("recursive_selection")
 def q_recursive_selection(spark, sf):
-    f = fr.materialize(model_frame(spark, sf))
-    return ml.recursive_selection(f, "tow", NUMERIC, target_features=6, steps=2, max_iter=10)
+    f, numeric, categorical = model_frame(spark, sf)
+    half = (len(numeric) + len(categorical)) // 2  # this frame has fewer columns than the selection keeps
+    return ml.recursive_selection(f, "tow", numeric, categorical, half, QUICK_STEPS, QUICK["catboost"])
 
 
 @register("param_search")
 def q_param_search(spark, sf):
-    f = fr.materialize(model_frame(spark, sf))
-    space = {"maxDepth": ("int", 3, 8), "stepSize": ("loguniform", 0.03, 0.3),
-             "minInstancesPerNode": ("int", 1, 20)}
-    return ml.random_search(f, "tow", NUMERIC, space, n_trials=3, max_iter=10)
+    f, numeric, categorical = model_frame(spark, sf)
+    return ml.param_search(f, "tow", numeric, categorical, n_trials=QUICK_TRIALS, settings=QUICK["catboost"])
 
 
 def _geo_frame(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from aerotow import session
 from aerotow.operators import encode as en
 from aerotow.operators import frame as fr
-from aerotow.operators import ml
+from aerotow.operators import ml, presets
 from aerotow.operators import ranks
 from aerotow.operators import tabular as tb
 from aerotow.operators import trajectory as tr
@@ -60,7 +60,7 @@ def test_reindex_refuses_duplicate_keys(spark):
 
 def test_gbt_takes_a_categorical_of_200_values(spark):
     df = spark.createDataFrame([(i, float(i % 200), f"v{i % 200}", i % 5 == 0) for i in range(1000)], "id int, tow double, c string, is_valid boolean")
-    model, info = ml.fit_gbt(df.withColumn("x", F.col("id") * 1.0), "tow", ["x"], ["c"], max_iter=2, maxDepth=3, refit=False)
+    model, info = ml.fit_gbt(df.withColumn("x", F.col("id") * 1.0), "tow", ["x"], ["c"], presets.QUICK["xgboost"].with_(max_rounds=2, depth=3), refit=False)
     assert ml.predict(model, df.withColumn("x", F.col("id") * 1.0), key="id", categorical=["c"], medians=info["medians"]).count() == 1000
 
 
