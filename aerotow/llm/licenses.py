@@ -117,9 +117,10 @@ def _scan(ts: list[Template], weights: dict[str, float], rare: int, in_place: fl
         find = _lookup(vocab)
         # postings: indexed word -> (template, position); a template's rarest words, ties to the earlier one
         postings: dict[int, list[tuple[int, int]]] = {}
-        needed = []
+        needed, rarest = [], []
         for k, t in enumerate(ts):
             best = sorted(range(len(t.words)), key=lambda i: (-weight[number[t.words[i]]], i))[:rare]
+            rarest.append(best)
             needed.append(max(1, (len(best) + 1) // 2) if not t.base else len(best))
             for i in best:
                 postings.setdefault(number[t.words[i]], []).append((k, i))
@@ -146,6 +147,8 @@ def _scan(ts: list[Template], weights: dict[str, float], rare: int, in_place: fl
                 if start + b > hi or not np.array_equal(code[start + a:start + b], codes[k][a:b]):
                     continue
                 held = np.array([lo <= start + i < hi and code[start + i] == codes[k][i] for i in range(len(codes[k]))])
+                if held[rarest[k]].sum() < needed[k]:  # some votes came from a neighbouring text
+                    continue
                 total = weight[codes[k]].sum()
                 share = float(weight[codes[k]][held].sum() / total) if total else float(held.mean())
                 if t.base or share >= in_place:

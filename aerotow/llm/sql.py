@@ -1,5 +1,7 @@
 """DuckDB SQL of the operator queries that SQL can express, written from their contracts."""
 
+from . import licenses
+
 ORACLE: dict[str, str] = {}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,3 +112,97 @@ f AS (SELECT *, CASE WHEN b >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE
 SELECT page_id, b::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id > first THEN first END AS refers_to FROM f
 """
+
+# CRC-32 in SQL: the table of 256 remainders, then a byte at a time over the hex digits of the UTF-8 bytes.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def _crc32(text: str, table: str = "tab") -> str:
+    """Unsigned CRC-32 of a text (not null), given the table as a list column."""
+    byte = f"list_transform(range(length(hex(encode({text}))) // 2), lambda j: ('0x' || substr(hex(encode({text})), 2 * j + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+def _leaf(text: str) -> str:
+    of = lambda v: f"coalesce(octet_length(encode({v}::VARCHAR))::VARCHAR || ':' || {v}::VARCHAR, '-')"
+    return f"sha256({' || '.join(of(v) for v in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+ORACLE["op11_merkle_manifest"] = rf"""
+WITH RECURSIVE t AS (SELECT {_CRC_TABLE} AS tab),
+d AS (SELECT doc_id, source, {_leaf('text')} AS leaf,
+    {_leaf("CASE WHEN " + _crc32("doc_id::VARCHAR") + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS now,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS idx,
+    count(*) OVER (PARTITION BY source) AS size
+  FROM documents, t),
+-- nodes of the sources' trees and their level, places and level sizes
+n AS (SELECT tree, 0 AS level, idx, size, leaf AS h FROM d
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM n WHERE size > 1 GROUP BY tree, level, idx // 3, size),
+sub AS (SELECT tree, h AS subroot FROM n WHERE size = 1),
+u AS (SELECT 0 AS level, tree AS idx, (SELECT count(*) FROM sub) AS size, subroot AS h FROM sub
+  UNION ALL
+  SELECT level + 1, idx // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM u WHERE size > 1 GROUP BY level, idx // 3, size),
+-- digests to the left and right of every node in its run
+ns AS (SELECT tree, level, a.idx, coalesce(string_agg(CASE WHEN b.idx < a.idx THEN b.h END, '' ORDER BY b.idx), '') AS l, coalesce(string_agg(CASE WHEN b.idx > a.idx THEN b.h END, '' ORDER BY b.idx), '') AS r
+  FROM n a JOIN n b USING (tree, level) WHERE a.size > 1 AND a.idx // 3 = b.idx // 3 GROUP BY tree, level, a.idx),
+us AS (SELECT level, a.idx, coalesce(string_agg(CASE WHEN b.idx < a.idx THEN b.h END, '' ORDER BY b.idx), '') AS l, coalesce(string_agg(CASE WHEN b.idx > a.idx THEN b.h END, '' ORDER BY b.idx), '') AS r
+  FROM u a JOIN u b USING (level) WHERE a.size > 1 AND a.idx // 3 = b.idx // 3 GROUP BY level, a.idx),
+p AS (SELECT tree, 0 AS level, idx, idx AS first, now AS h, '' AS seen FROM d
+  UNION ALL
+  SELECT p.tree, p.level + 1, p.idx // 3, p.first, sha256(l || p.h || r), seen || l || r FROM p JOIN ns ON p.tree = ns.tree AND p.level = ns.level AND p.idx = ns.idx),
+top AS (SELECT tree, first, arg_max(h, level) AS h, arg_max(seen, level) AS seen FROM p GROUP BY tree, first),
+q AS (SELECT tree, first, 0 AS level, tree AS idx, h, seen FROM top
+  UNION ALL
+  SELECT q.tree, q.first, q.level + 1, q.idx // 3, sha256(l || q.h || r), seen || l || r FROM q JOIN us ON q.level = us.level AND q.idx = us.idx),
+f AS (SELECT tree, first, arg_max(h, level) AS folded_root, arg_max(seen, level) AS seen FROM q GROUP BY tree, first),
+root AS (SELECT h AS root FROM u WHERE size = 1)
+SELECT doc_id, leaf, subroot, root, sha256(seen) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM d JOIN f ON d.tree = f.tree AND d.idx = f.first JOIN sub ON d.tree = sub.tree, root
+"""
+
+ORACLE["op12_spelling_variants"] = rf"""
+WITH RECURSIVE t AS (SELECT {_CRC_TABLE} AS tab),
+r AS (SELECT doc_id, w, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) GROUP BY doc_id, w),
+h AS (SELECT w, n, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM r, t),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+-- words that differ by one edit share a variant with one letter left out or left open
+k AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS k FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+  UNION SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i) FROM (SELECT word, n, unnest(range(1, length(word) + 2)) AS i FROM v)),
+near AS (SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM k a JOIN k b ON a.k = b.k AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m,
+    (list(other ORDER BY m DESC, encode(other)))[1] AS other FROM near GROUP BY word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS here, 0 AS step FROM forms
+  UNION ALL SELECT chain.word, form, step + 1 FROM chain JOIN forms ON chain.here = forms.word WHERE form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+#: The method's own templates: number, label, words, first and last place (exclusive) of the key phrase, whether it is a base phrase.
+_TEMPLATES = ", ".join(f"({k}, '{t.label}', {list(t.words)}, {t.key[0]}, {t.key[1]}, {t.base})" for k, t in enumerate(licenses.templates()))
+
+ORACLE["op2_license_scan"] = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+t(k, label, ws, a, b, base) AS (VALUES {_TEMPLATES}),
+tw AS (SELECT k, unnest(ws) AS word, unnest(range(len(ws))) AS i, base FROM t),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM tw) GROUP BY word),
+wt AS (SELECT tw.*, ln(((SELECT count(*) FROM d) + 1) / (coalesce(n, 0) + 1)) AS idf FROM tw LEFT JOIN df USING (word)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY idf DESC, i) <= {licenses.RARE} AS rare FROM wt),
+need AS (SELECT k, CASE WHEN base THEN count(*) ELSE greatest(1, (count(*) + 1) // 2) END AS needed FROM ranked WHERE rare GROUP BY k, base),
+hits AS (SELECT doc_id, w, k, p - a AS start, p FROM (
+    SELECT doc_id, w, k, ws[a + 1 : b] AS phrase, a, unnest(range(len(w) - (b - a) + 1)) AS p FROM d, t WHERE len(w) >= b - a)
+  WHERE w[p + 1 : p + len(phrase)] = phrase),
+held AS (SELECT doc_id, k, start, p, base, idf, rare, start + i >= 0 AND start + i < len(w) AND coalesce(w[(start + i + 1)::BIGINT] = word, false) AS ok FROM hits JOIN ranked USING (k)),
+places AS (
+  SELECT doc_id, k, start, p, base, CASE WHEN sum(idf) > 0 THEN sum(CASE WHEN ok THEN idf ELSE 0 END) / sum(idf) ELSE avg(ok::INT) END AS share, count(*) FILTER (ok AND rare) AS votes
+  FROM held GROUP BY doc_id, k, start, p, base),
+found AS (SELECT doc_id, label, p, places.base, share FROM places JOIN need USING (k) JOIN t USING (k) WHERE votes >= needed AND (places.base OR share >= {licenses.IN_PLACE}))
+SELECT d.doc_id, len(w)::BIGINT AS n_words, count(*) FILTER (f.base) AS n_base, min(p) FILTER (f.base) AS first_word, max(p) FILTER (f.base) AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (f.base))), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (label IS NOT NULL))), ','), '') AS labels, coalesce(max(share), 0.0) AS score
+FROM d LEFT JOIN found f USING (doc_id) GROUP BY d.doc_id, w
+"""
