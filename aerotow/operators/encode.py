@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from .ordered import numbered
 from .ranks import medians as exact_medians
 from .ranks import rank_within
 
@@ -116,23 +117,6 @@ def fit_categories(df: DataFrame, cols: Sequence[str], max_categories: int = 100
     return out
 
 
-def _code_map(values: list) -> Column:
-    return F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
-
-
-def label_encode(df: DataFrame, cats: dict[str, list], suffix: str = "") -> DataFrame:
-    """Dense code 0..k-1 in sorted category order; unseen values (and nulls) -> null."""
-    cols = {}
-    for c, values in cats.items():
-        if not values:
-            cols[f"{c}{suffix}"] = F.lit(None).cast("int")
-            continue
-        dt = df.schema[c].dataType
-        key = F.col(c).cast("string") if isinstance(dt, StringType) else F.col(c)
-        cols[f"{c}{suffix}"] = F.when(F.col(c).isNotNull(), _code_map(values)[key]).cast("int")
-    return df.withColumns(cols)
-
-
 def fit_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, category, code) table: codes 0..k-1 of each column's distinct values in sorted order.
 
@@ -159,10 +143,6 @@ def label_encode_join(df: DataFrame, codes: DataFrame, cols: Sequence[str], suff
     return df
 
 
-def cardinalities(cats: dict[str, list]) -> dict[str, int]:
-    return {c: len(v) for c, v in cats.items()}
-
-
 def _dummy_name(col: str, value) -> str:
     return f"{col}_{value}"
 
@@ -239,12 +219,18 @@ def split_holdout(df: DataFrame, id_col: str, fractions: dict[str, float], seed:
 
 
 def sample_rows(df: DataFrame, n: int, id_cols: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all, if there are fewer): those with the smallest hash of (ids, seed).
+    """Exactly ``n`` rows drawn with replacement (none from an empty table).
 
-    The draw depends on the ids alone, so it is the same for every partitioning and task retry.
+    Every draw is a hash of its number and the seed that picks a place in the order of the ids (must be unique), and is
+    joined to the row at that place; so the draws depend on the ids alone, and are the same for every partitioning and
+    task retry. Neither the rows nor the draws pass through one task.
     """
-    return (df.withColumn("_draw", F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed)))
-              .orderBy("_draw", *id_cols).limit(n).drop("_draw"))
+    rows = numbered(df, id_cols, "_place")
+    total = df.count()
+    if not total:
+        return df.limit(0)
+    draw = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(total)).alias("_place")
+    return rows.join(df.sparkSession.range(n).select(draw), "_place").select(*df.columns)
 
 
 # -------------------------------------------------------------------- noise

@@ -1,55 +1,59 @@
 """Whole-table ordered operators without a single-partition window.
 
-An expanding mean or a forward fill "over the whole table in row order" is
-a prefix computation.  Written as a window with an empty partition spec it
-would pull every row into one task.  Instead:
-
-1. cut the (unique, numeric) order key into ``P`` contiguous ranges at
-   approximate quantiles (``P - 1`` boundaries on the driver); the bucket is a
-   pure function of the row, so every branch of the plan agrees on it and a
-   recomputed task reproduces it;
-2. per-bucket totals -- at most ``P`` rows, a proven bound, so they are
-   broadcast -- give each bucket its carry-in from earlier buckets;
-3. a window partitioned by bucket does the local prefix work (a bucket holds
-   about 1/P of the rows).
+An expanding mean, a forward fill or a row number "over the whole table in row order" is a prefix computation. Written
+as a window with an empty partition spec it would pull every row into one task. Instead:
+
+1. the rows are range-partitioned by the order key (any sortable columns) into blocks of about ``BLOCK_ROWS`` rows,
+   whatever the session's shuffle partitions, and written in buckets of the block, so that every later step agrees on a
+   row's block and reads it without a shuffle;
+2. a window per block does the local prefix work;
+3. one summary row per block gives each block its carry from the blocks before. The summaries are scanned in two levels
+   (within groups of ``GROUP`` blocks, then over the groups), and broadcast: they are as many as there are buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import MAX_BUCKETS, bucketed
 from .ranks import _partitions
 
+#: Rows of a block, and blocks of a group.
+BLOCK_ROWS = 1_000_000
+GROUP = 1_000
+
+
+def _blocks(df: DataFrame, order: Sequence[str], partitions: int | None) -> DataFrame:
+    """``df`` with the block ``_b`` of every row; blocks ascend with the order key."""
+    p = min(MAX_BUCKETS, max(_partitions(df, partitions), -(-df.count() // BLOCK_ROWS)))
+    ranged = df.repartitionByRange(p, *order).withColumn("_b", F.spark_partition_id())
+    return bucketed(ranged, "_b", p, "ordered")
 
-def _bucketed(df: DataFrame, order: Sequence[str], partitions: int | None) -> DataFrame:
-    from pyspark.ml.feature import Bucketizer
 
-    if len(order) != 1:
-        raise ValueError("whole-table ordered operators need one unique numeric order column")
-    key = order[0]
-    p = _partitions(df, partitions)
-    probs = [i / p for i in range(1, p)]
-    bounds = df.approxQuantile(key, probs, 1.0 / (10 * p)) if p > 1 else []
-    splits = [float("-inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
-    tmp = "_bkey"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol="_bd", handleInvalid="keep")
-    out = b.transform(df.withColumn(tmp, F.col(key).cast("double")))
-    return out.withColumn("_b", F.col("_bd").cast("int")).drop(tmp, "_bd")
+def _carried(blocks: DataFrame, columns: dict[str, Callable[[Column | str], Column]]) -> DataFrame:
+    """(_b, columns) where each column is folded over all blocks before ``_b`` by its aggregate."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    g = blocks.withColumn("_g", F.floor(F.col("_b") / GROUP))
+    inner = before(Window.partitionBy("_g").orderBy("_b"))
+    # in order within the group, so that a last value is the last block's
+    whole = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    groups = g.select("_g", *(agg(c).over(whole).alias(c) for c, agg in columns.items())).distinct()
+    outer = groups.select("_g", *(agg(c).over(before(Window.orderBy("_g"))).alias(f"{c}_out") for c, agg in columns.items()))
+    inside = g.select("_b", "_g", *(agg(c).over(inner).alias(f"{c}_in") for c, agg in columns.items()))
+    return inside.join(F.broadcast(outer), "_g").drop("_g")
 
 
 def running_mean(df: DataFrame, value: str, order: Sequence[str], out: str,
                  partitions: int | None = None) -> DataFrame:
     """Expanding mean of ``value`` (nulls skipped) in ``order`` (must be unique)."""
     order = list(order)
-    s = _bucketed(df, order, partitions)
+    s = _blocks(df, order, partitions)
     tot = s.groupBy("_b").agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-    # carry-in over the (at most P-row) bucket table
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_cs"),
-                       F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_cc"))
+    zero = lambda c: F.coalesce(F.col(f"{c}_in"), F.lit(0)) + F.coalesce(F.col(f"{c}_out"), F.lit(0))
+    carry = _carried(tot, {"_s": F.sum, "_c": F.sum}).select("_b", zero("_s").alias("_cs"), zero("_c").alias("_cc"))
     w = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = s.withColumn("_ls", F.sum(value).over(w)).withColumn("_lc", F.count(value).over(w))
     s = s.join(F.broadcast(carry), "_b")
@@ -60,18 +64,26 @@ def running_mean(df: DataFrame, value: str, order: Sequence[str], out: str,
 
 def forward_fill(df: DataFrame, cols: Sequence[str], order: Sequence[str],
                  partitions: int | None = None) -> DataFrame:
-    """Replace nulls by the last earlier non-null value in ``order``."""
+    """Replace nulls by the last earlier non-null value in ``order`` (must be unique)."""
     order, cols = list(order), list(cols)
-    s = _bucketed(df, order, partitions)
+    s = _blocks(df, order, partitions)
     okey = F.struct(*order)
-    last_in_bucket = s.groupBy("_b").agg(*[
+    last_in_block = s.groupBy("_b").agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"_l_{c}") for c in cols])
-    # carry-in over the (at most P-row) bucket table
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last_in_bucket.select("_b", *[
-        F.last(f"_l_{c}", ignorenulls=True).over(before).alias(f"_in_{c}") for c in cols])
+    last = lambda c: F.last(c, ignorenulls=True)
+    carry = _carried(last_in_block, {f"_l_{c}": last for c in cols})
     w = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = s.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
     s = s.join(F.broadcast(carry), "_b")
-    s = s.withColumns({c: F.coalesce(F.col(c), F.col(f"_in_{c}")) for c in cols})
-    return s.drop("_b", *[f"_in_{c}" for c in cols])
+    s = s.withColumns({c: F.coalesce(F.col(c), F.col(f"_l_{c}_in"), F.col(f"_l_{c}_out")) for c in cols})
+    return s.drop("_b", *[f"_l_{c}_{x}" for c in cols for x in ("in", "out")])
+
+
+def numbered(df: DataFrame, order: Sequence[str], out: str = "_row", partitions: int | None = None) -> DataFrame:
+    """``df`` with the place of every row, from 0, in ``order`` (must be unique)."""
+    s = _blocks(df, list(order), partitions)
+    sizes = s.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    carry = _carried(sizes, {"_n": F.sum}).select("_b", (F.coalesce("_n_in", F.lit(0)) + F.coalesce("_n_out", F.lit(0))).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
+    return (s.withColumn("_in_block", place).join(F.broadcast(carry), "_b")
+            .withColumn(out, F.col("_first") + F.col("_in_block")).drop("_b", "_in_block", "_first"))

@@ -39,7 +39,7 @@ def test_points_are_dealt_once(spark):
 def test_ordered_ops_use_bucket_windows(spark):
     o = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_totalprice")
     plan = _plan(od.running_mean(o, "o_totalprice", ["o_orderkey"], "m"))
-    assert "BroadcastHashJoin" in plan       # carry table of at most P rows
+    assert "BroadcastHashJoin" in plan       # carry table of a row per block
     # the only window without a partition spec runs on the P-row bucket table
     big = [l for l in plan.splitlines() if re.search(r"Window \[.*\], \[\], \[", l)]
     assert len(big) <= 1

@@ -25,11 +25,39 @@ def test_swap_noise_keeps_rows_when_hashes_collide(spark, monkeypatch):
     assert len(rows) == 100 and len({r.id for r in rows}) == 100 and {r.v for r in rows} <= {10 * i for i in range(100)}
 
 
-def test_sample_rows_is_exact_and_stable(spark):
-    df = spark.range(500).select("id")
-    a, b = (sorted(r.id for r in en.sample_rows(x, 40, ["id"], 3).collect()) for x in (df, df.repartition(9)))
-    assert a == b and len(a) == 40
-    assert en.sample_rows(df, 9999, ["id"]).count() == 500
+def test_sample_rows_with_replacement_is_exact_and_stable(spark):
+    df = spark.range(500).select("id", (F.col("id") * 3).alias("v")).repartition(5)
+    a, b = (sorted(r.id for r in en.sample_rows(x, 400, ["id"], 3).collect()) for x in (df, df.repartition(9)))
+    assert a == b and len(a) == 400
+    assert a != sorted(r.id for r in en.sample_rows(df, 400, ["id"], 4).collect())
+    # rows repeat as often as independent draws do: 500 draws of 500 rows leave about a share 1/e out
+    many = [r.id for r in en.sample_rows(df, 5000, ["id"]).collect()]
+    counts = [many.count(i) for i in range(500)]
+    assert len(many) == 5000 and max(counts) < 30 and sum((c - 10) ** 2 for c in counts) / 500 < 15
+    once = {r.id for r in en.sample_rows(df, 500, ["id"], 9).collect()}
+    assert 280 < len(once) < 350
+    assert all(r.v == 3 * r.id for r in en.sample_rows(df, 50, ["id"]).collect())
+    assert en.sample_rows(df.limit(0), 10, ["id"]).count() == 0
+
+
+def test_ordered_operators_by_rows(spark, monkeypatch):
+    """Composite and text keys, blocks of few rows in several groups, whatever the shuffle partitions."""
+    from aerotow.operators import ordered as od
+
+    monkeypatch.setattr(od, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(od, "GROUP", 3)
+    rows = [(f"k{i // 7:03d}", i % 7, None if i % 3 else float(i), None if i % 50 else f"v{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "a string, b int, x double, y string").repartition(4)
+    blocks = od._blocks(df, ["a", "b"], 1).groupBy("_b").count()
+    assert blocks.count() >= 10 and blocks.agg(F.max("count")).first()[0] <= 60
+    filled = {(r.a, r.b): (r.x, r.y) for r in od.forward_fill(df, ["x", "y"], ["a", "b"], 1).collect()}
+    means = {(r.a, r.b): r.m for r in od.running_mean(df, "x", ["a", "b"], "m", 1).collect()}
+    places = {(r.a, r.b): r.p for r in od.numbered(df, ["a", "b"], "p", 1).collect()}
+    seen, x, y = [], None, None
+    for i, (a, b, u, v) in enumerate(rows):
+        x, y = u if u is not None else x, v if v is not None else y
+        seen += [u] if u is not None else []
+        assert filled[a, b] == (x, y) and places[a, b] == i and abs(means[a, b] - sum(seen) / len(seen)) < 1e-9
 
 
 def test_label_codes_by_join(spark):
