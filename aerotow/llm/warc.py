@@ -36,7 +36,7 @@ SMALLEST = 100
 SPLIT_BYTES = 16 << 20
 SCHEMA = ("record_id string, warc_type string, target_uri string, refers_to string, payload_digest string, "
           "payload_length bigint, payload binary")
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 
 # Lines of the WARC 1.1 format.
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -69,22 +69,51 @@ def member(record: dict, level: int = 6) -> bytes:
 
 
 def _parsed(head: bytes) -> dict:
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    row = {c: fields.get(h) for c, h in _HEADERS.items()}
+    # names in any case, white space around values optional
+    lines = (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)
+    fields = {name.strip().lower(): value.strip() for name, _, value in lines}
+    row = {c: fields.get(h.lower()) for c, h in _HEADERS.items()}
     for c in ("record_id", "refers_to"):
         row[c] = row[c].strip("<>") if row[c] is not None else None
     row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha256:") or None
     row["payload_length"] = int(row["payload_length"]) if (row["payload_length"] or "").isdigit() else None
-    row["_content"] = int(fields.get("Content-Length", 0))
+    row["_content"] = int(fields.get("content-length") or 0)
     return row
 
 
+def _uncompressed(f, at: int, wanted, payload: bool) -> tuple[dict | None, int]:
+    """The record at ``at`` of a plain archive if it is wanted, and its length."""
+    f.seek(at)
+    plain = b""
+    while b"\r\n\r\n" not in plain:
+        more = f.read(8192)
+        if not more:
+            raise ValueError(f"record at byte {at} is cut off")
+        plain += more
+    head, _, _ = plain.partition(b"\r\n\r\n")
+    row, begin = _parsed(head), at + len(head) + 4
+    size = row.pop("_content")
+    if not wanted(row):
+        return None, begin + size + 4 - at
+    row["payload"] = None
+    if payload and row["warc_type"] != "revisit":
+        f.seek(begin)
+        row["payload"] = f.read(size).partition(b"\r\n\r\n")[2]
+    return row, begin + size + 4 - at
+
+
 def records(f, start: int, end: int, wanted, payload: bool) -> Iterator[dict]:
     """Records of the members that begin in [start, end); headers first, the rest only for wanted records."""
     at = start
     while at < end:
         f.seek(at)
         raw = f.read(8192)
+        if raw[:5] == b"WARC/":
+            row, length = _uncompressed(f, at, wanted, payload)
+            at += length
+            if row is not None:
+                yield row
+            continue
         if raw[:3] != b"\x1f\x8b\x08":
             raise ValueError(f"no gzip member at byte {at}")
         flags, skip, length = raw[3], 10, None
@@ -192,14 +221,17 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         files, root = _open(self.path)
-        if files.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with files.open_input_stream(f"{root}/{MANIFEST}") as f:
-                entries = json.loads(f.read())
+        one = files.get_file_info(root)
+        inside = [] if one.type == fs.FileType.File else files.get_file_info(fs.FileSelector(root))
+        manifests = sorted(x.path for x in inside if x.base_name.startswith(MANIFEST))  # one of every write
+        if manifests:
+            entries = []
+            for m in manifests:
+                with files.open_input_stream(m) as f:
+                    entries += json.loads(f.read())
             out = [Range(f"{self.path}/{e['name']}", a, b) for e in entries for a, b in zip(e["splits"], e["splits"][1:])]
         else:
-            one = files.get_file_info(root)
-            found = [one] if one.type == fs.FileType.File else [
-                x for x in files.get_file_info(fs.FileSelector(root)) if x.path.endswith((".warc.gz", ".warc"))]
+            found = [one] if one.type == fs.FileType.File else [x for x in inside if x.path.endswith((".warc.gz", ".warc"))]
             out = [Range(self.path if x is one else f"{self.path}/{x.base_name}", 0, x.size) for x in found]
         return out or [Range("", 0, 0)]
 
@@ -252,7 +284,7 @@ class WarcWriter(DataSourceArrowWriter):
         files, root = _open(self.path)
         files.create_dir(root, recursive=True)
         entries = [{"name": m.name, "splits": m.splits, "records": m.records} for m in messages if m is not None and m.records]
-        with files.open_output_stream(f"{root}/{MANIFEST}") as f:
+        with files.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(entries).encode())
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -315,6 +315,23 @@ def test_warc_foreign_archive(spark, tmp_path):
     assert [(r.record_id, r.warc_type, r.payload) for r in rows if r.warc_type == "response"] == [("r1", "response", b"hello")] and len(rows) == 3
 
 
+def test_warc_append_headers_and_plain_files(spark, tmp_path):
+    """A second write adds its records; header names in any case; files without compression."""
+    path = new_path(spark, "test-warc-append")
+    for i in (1, 2):
+        warc.write(warc.plan(spark.createDataFrame([(10 * i, "u", f"text {i}"), (10 * i + 1, "v", None)], "page_id bigint, url string, html string")), path)
+    assert sorted(r.page_id for r in warc.report(warc.read(spark, path)).collect()) == [10, 11, 20, 21]
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    one = b"WARC/1.0\r\nwarc-type:response\r\nWARC-RECORD-ID:<r1>\r\ncontent-length:%d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    two = b"WARC/1.0\r\nWARC-Type:  warcinfo \r\nWARC-Record-ID: <r2>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(two + one + two)
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert sorted((r.record_id, r.warc_type) for r in rows) == [("r1", "response"), ("r2", "warcinfo"), ("r2", "warcinfo")]
+    assert [r.payload for r in rows if r.warc_type == "response"] == [b"hello"]
+    assert warc.read(spark, f"{tmp_path}/x.warc").where("warc_type = 'response'").count() == 1
+    assert [r.payload for r in warc.read(spark, str(tmp_path), payload=False).collect()] == [None] * 3
+
+
 def test_bpe(corpus, docs, empty):
     from tokenizers import Tokenizer
     path = Q.tokenizer_path()
