@@ -305,6 +305,8 @@ def _gram():
                 if visit[lo] == 0:
                     home.append(rows)
                     continue
+                if not home:  # no word of the block was dealt to this tile
+                    continue
                 tile = tile or _Tile(pa.Table.from_batches(home))
                 for part in slices([rows], "word", TILE_LETTERS // 4):
                     yield from found(tile, part)

@@ -203,7 +203,7 @@ def test_spelling_parts():
     i, j = map(np.array, zip(*[(a, b) for a in range(len(words)) for b in range(len(words)) if len(words[b]) - len(words[a]) in (0, 1)]))
     ok = spelling.one_edit(x, i, x, j)
     found = {(words[a], words[b]) for a, b in zip(i[ok], j[ok])}
-    assert found == {("abcdef", "abcdex"), ("abcdex", "abcdef"), ("abcde", "abcdef"), ("abcde", "abcdex"), ("abcdef", "xabcdef"), ("aéîõüý", "aéîõüÿ"), ("aéîõüÿ", "aéîõüý")}
+    assert found == {("abcdef", "abcdex"), ("abcdex", "abcdef"), ("abcde", "abcdef"), ("abcde", "abcdex"), ("abcde", "abcdfe"), ("abcdef", "xabcdef"), ("aéîõüý", "aéîõüÿ"), ("aéîõüÿ", "aéîõüý")}
     data, starts, ends, _ = spelling.runs(pa.array(["Ab×c", None, "÷", "日本é"]))
     assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends)] == ["ab×c", "÷", "é"]
     seeds = np.array([zlib.crc32(b"12:"), zlib.crc32(b":"), zlib.crc32(b"7:")], np.uint32)
