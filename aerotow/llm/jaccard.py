@@ -24,7 +24,7 @@ Steps, each a Spark job over whole tables:
 3. where a tree still holds several components, one id of each is compared with one of the largest (a star again);
 4. only trees that then hold several components are searched, each band of sizes with itself and the one below, and
    only between components. A large tree is dealt into tiles of its largest component and of the rest, so that no task
-   holds more than two tiles;
+   holds more than two tiles. A pair that several trees hold is emitted in the least of them;
 5. verified links of all steps give the components.
 
 Linking within a component is settled by step 2, so a group of thousands of near copies costs its size and not its
@@ -63,6 +63,8 @@ FREQUENT = 3
 LEAF = 32
 FAN = 4
 TILE = 512
+#: Least searched trees of a point that it carries, to tell in which one a pair is emitted.
+KNOWN = 32
 #: Ids up to this many (8 bytes each) are broadcast to the texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -281,6 +283,23 @@ class _Tree:
         return x, y
 
 
+def _first_trees(shingle: np.ndarray, known: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs belong to the tree that finds them: the least tree that both points are searched in. A point
+    knows its ``KNOWN`` least trees, in order; if two points share one of these, the least such is the least of all. Else
+    the pair is emitted wherever it is found."""
+    flat, size = known.flatten().to_numpy(), known.value_lengths().to_numpy()
+    place = np.arange(KNOWN)
+    first = np.cumsum(size) - size
+    held = np.where(place < size[:, None], flat[np.minimum(first[:, None] + place, max(len(flat) - 1, 0))] if len(flat) else 0, 0)
+    out = np.empty(len(i), bool)
+    for at in range(0, len(i), 4096):
+        x, y = i[at:at + 4096], j[at:at + 4096]
+        both = ((held[x][:, :, None] == held[y][:, None, :]) & (place < size[y][:, None])[:, None, :]).any(2) & (place < size[x][:, None])
+        least = held[x, both.argmax(1)]
+        out[at:at + 4096] = ~both.any(1) | (least == shingle[x])
+    return out
+
+
 def _search(percent: int):
     """Task: pairs of different components in every tile (``part``) of rows that are sorted by it."""
     def small(p: _Points, part, comp, rest, own, size) -> np.ndarray:
@@ -320,6 +339,7 @@ def _search(percent: int):
             if hi - lo > LEAF:
                 found += large(p, lo, hi, comp, rest, own)
         at = np.concatenate(found)
+        at = at[_first_trees(rows.column("shingle").to_numpy(), rows.column("known").combine_chunks(), at[:, 0], at[:, 1])]
         at = at[p.near(at[:, 0], at[:, 1])]
         ids = rows.column("doc_id").to_numpy()
         least, most = np.minimum(ids[at[:, 0]], ids[at[:, 1]]), np.maximum(ids[at[:, 0]], ids[at[:, 1]])
@@ -372,7 +392,10 @@ def _between_components(rows: DataFrame, points: DataFrame, percent: int) -> Dat
     kind = dict(points.dtypes)["doc_id"]
     tiles = lambda c: F.ceil(c / F.lit(TILE)).cast("int")
     units = _mixed(rows).select("shingle", "band", "all", "most", "largest").distinct()
-    rows = rows.join(units, ["shingle", "band"]).withColumn("side", F.when(F.col("component") == F.col("largest"), "G").otherwise("O"))
+    rows = rows.join(units, ["shingle", "band"])
+    # of every pair that shares a tree, the units of that tree that hold both are searched, so both points know it
+    known = rows.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("shingle")), 1, KNOWN).alias("known"))
+    rows = rows.withColumn("side", F.when(F.col("component") == F.col("largest"), "G").otherwise("O"))
     rows = rows.withColumn("mg", tiles(F.col("most"))).withColumn("mo", tiles(F.col("all") - F.col("most")))
     own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("side") == "G", F.col("mg")).otherwise(F.col("mo"))).cast("int")
     span = lambda m: F.sequence(F.lit(0), m - 1)
@@ -382,8 +405,8 @@ def _between_components(rows: DataFrame, points: DataFrame, percent: int) -> Dat
                  F.transform(span(F.col("mo")), lambda j: F.concat_ws(".", F.lit("o"), F.least(j, F.col("tile_no")), F.greatest(j, F.col("tile_no"))))))
     # ``part`` names the tile; should two tiles get one name, they are searched together
     dealt = (rows.withColumn("tile_no", own).withColumn("tile", F.explode(go))
-             .select(F.xxhash64("shingle", "band", "tile").alias("part"), "doc_id", "component", (F.col("side") == "O").alias("rest"), "own")
-             .join(points.select("doc_id", "n", "vec"), "doc_id"))
+             .select(F.xxhash64("shingle", "band", "tile").alias("part"), "shingle", "doc_id", "component", (F.col("side") == "O").alias("rest"), "own")
+             .join(points.select("doc_id", "n", "vec").join(known, "doc_id"), "doc_id"))
     sorted_ = dealt.repartition("part").sortWithinPartitions("part")
     return sorted_.mapInArrow(_search(percent), f"a {kind}, b {kind}").distinct()
 
