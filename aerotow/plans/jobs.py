@@ -17,6 +17,7 @@ itself, as the reference notebooks do.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from ..operators import ml
 from ..operators import tabular as tb
 from ..operators.presets import REFERENCE, Boosting
 from ..operators.trajectory import trajectory_features
+from ..session import written
 
 # Columns removed after feature extraction, then before encoding.
 COLUMNS_TO_REMOVE = ["name_adep", "name_ades", "country_code_adep", "country_code_ades",
@@ -107,18 +109,26 @@ def model_columns(df: DataFrame) -> tuple[list[str], list[str]]:
 
 def train_blend_submit(lab: DataFrame, unl: DataFrame, ids: DataFrame, numeric: Sequence[str],
                        categorical: Sequence[str] = (), models: dict[str, Boosting] = REFERENCE, seed: int = 42, label: str = "tow", key: str = "flight_id",
-                       bound: str = "MTOW_kg") -> tuple[DataFrame, dict]:
-    """Plan C: boosted trees per model (patience + refit), blend weights fitted on the
+                       bound: str = "MTOW_kg", parallel: int = 3) -> tuple[DataFrame, dict]:
+    """Plan C: boosted trees per model (patience + refit; ``parallel`` models at a time), blend weights fitted on the
     validation predictions, blended and clipped submission in ``ids`` order."""
     lab = fr.materialize(en.split_holdout(lab, key, {"train": 0.8, "valid": 0.2}, seed)
                          .withColumn("is_valid", F.col("split") == "valid"))
     valid_preds, test_preds, info = {}, {}, {}
     med = en.fit_medians(lab.where(F.col(label).isNotNull()), list(numeric))
-    for fl, settings in models.items():
-        full, i2 = ml.fit_gbt(lab, label, numeric, categorical, settings.with_(seed=seed), medians=med)
+    # the models learn from the same rows, and judge the same ones: each is made once
+    on = ml.ready(lab, label, numeric, categorical, medians=med)
+
+    def features(df: DataFrame, name: str) -> DataFrame:
+        return written(ml.with_features(df, on.stages.stages, categorical, on.medians, [key]), name)
+    held, test = features(lab.where("is_valid"), "valid-features"), features(unl, "test-features")
+    with ThreadPoolExecutor(parallel) as pool:  # a fit is many short jobs, one after the other
+        fits = {fl: pool.submit(ml.fit_gbt, lab, label, numeric, categorical, settings.with_(seed=seed), on=on) for fl, settings in models.items()}
+    for fl, fit in fits.items():
+        full, i2 = fit.result()
         early = i2.pop("early_model")
-        valid_preds[fl] = ml.predict(early, lab.where("is_valid"), key, categorical, f"p_{fl}", i2["medians"])
-        test_preds[fl] = ml.predict(full, unl, key, categorical, "tow", i2["medians"])
+        valid_preds[fl] = early.stages[-1].transform(held).select(key, F.col("prediction").alias(f"p_{fl}"))
+        test_preds[fl] = full.stages[-1].transform(test).select(key, F.col("prediction").alias("tow"))
         info[fl] = i2
     v = lab.where("is_valid").select(key, label)
     for fl, p in valid_preds.items():
